@@ -6,14 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, simhash
+from . import decontaminate, line_dedup, packing, simhash, token_counts
 from .common import ship, table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a tokenizer file; the package of public tokenizers is installed at the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_counts.op3_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op5_line_dedup(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.op6_packing(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
@@ -26,7 +43,9 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_counts": _op3,
         "op5_line_dedup": _op5,
+        "op6_packing": _op6,
         "op8_simhash": _op8,
         "op10_decontaminate": _op10,
     }
