@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, token_counts
+from . import decontaminate, line_dedup, packing, simhash, token_counts, toxicity
 from .common import ship, table
 
 
@@ -17,6 +17,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return toxicity.op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return token_counts.op3_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,6 +48,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": _op1,
         "op3_token_counts": _op3,
         "op5_line_dedup": _op5,
         "op6_packing": _op6,
