@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, simhash, token_counts, toxicity
+from . import decontaminate, licences, line_dedup, packing, quality_rules, simhash, token_counts, toxicity
 from .common import ship, table
 
 
@@ -22,6 +22,11 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality_rules.op2_quality_rules(table(spark, sf_dir, "documents"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return token_counts.op3_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -36,6 +41,10 @@ def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op6_packing(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.op7_licences(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
@@ -49,9 +58,11 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": _op1,
+        "op2_quality_rules": _op2,
         "op3_token_counts": _op3,
         "op5_line_dedup": _op5,
         "op6_packing": _op6,
+        "op7_licences": _op7,
         "op8_simhash": _op8,
         "op10_decontaminate": _op10,
     }
@@ -59,6 +70,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": quality_rules.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op7_licences": licences.ORACLE_SQL,
         "op10_decontaminate": decontaminate.ORACLE_SQL,
     }
