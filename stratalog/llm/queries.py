@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, line_dedup, packing, quality_rules, simhash, token_counts, toxicity
+from . import decontaminate, licences, line_dedup, packing, quality_classifier, quality_rules, simhash, token_counts, toxicity, url_filters
 from .common import ship, table
 
 
@@ -32,6 +32,11 @@ def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op3_token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality_classifier.op4_quality_classifier(table(spark, sf_dir, "documents"))
+
+
 def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op5_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,11 @@ def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op8_simhash(table(spark, sf_dir, "documents"))
 
 
+def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return url_filters.op9_url_filters(table(spark, sf_dir, "pages"))
+
+
 def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return decontaminate.op10_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,10 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": _op1,
         "op2_quality_rules": _op2,
         "op3_token_counts": _op3,
+        "op4_quality_classifier": _op4,
         "op5_line_dedup": _op5,
         "op6_packing": _op6,
         "op7_licences": _op7,
         "op8_simhash": _op8,
+        "op9_url_filters": _op9,
         "op10_decontaminate": _op10,
     }
 
