@@ -6,6 +6,7 @@ The file's pipeline is: NFC, blank runs, lower case; a split pattern of contract
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from heapq import heapify, heappop, heappush
 
@@ -96,6 +97,58 @@ def _byte_symbols() -> list[str]:
     return [chr(b if b in printing else next(spare)) for b in range(256)]
 
 
+#: A full stop or comma between an ASCII letter and a blank is a pretoken, and a span, of its own.
+_ENDS = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+
+
+def spans_of(text: bytes) -> list[bytes]:
+    """The spans of a text, as few different ones as the tokenizer allows: without case where it makes no difference, and with plain ends of clauses apart.
+
+    Case of ASCII letters tells only in special strings, and before combining marks (U+0300 to U+036F, lead bytes CC and CD), with which they may compose.
+    """
+    if not (b"<|" in text or b"\xcc" in text or b"\xcd" in text):
+        text = text.lower()
+    return _ENDS.sub(rb" \1", text).split()
+
+
+class Paths(dict):
+    """What is known of spans, in two generations of at most `most` spans each: a span that isn't used while the younger one fills is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older, self.brief = most, {}, []
+
+    def missing(self, spans: list[bytes]) -> list[bytes]:
+        """Of spans that aren't in the younger generation, those that aren't known at all, each once. Those that the older generation has come back."""
+        for span in self.brief:
+            self.pop(span, None)
+        wanted = set(spans)
+        known = wanted.intersection(self.older)
+        self.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        wanted -= known
+        # Long spans are kept for the texts at hand only.
+        self.brief = [s for s in wanted if len(s) > 64]
+        return list(wanted)
+
+    def learn(self, spans: list[bytes]) -> None:
+        """Adds what is not known of these spans."""
+        raise NotImplementedError
+
+    def of(self, texts: list[list[bytes]]) -> list[list]:
+        """What is known of each text's spans, after learning what isn't."""
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        get = self.get
+        found = [list(map(get, spans)) for spans in texts]
+        holes = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        self.learn([spans[i] for spans, at in zip(texts, holes, strict=True) for i in at])
+        for spans, f, at in zip(texts, found, holes, strict=True):
+            for i in at:
+                f[i] = self[spans[i]]
+        return found
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -266,9 +319,9 @@ class Bpe:
 
     def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of pieces that the split machine cuts by class alone; an apostrophe counts as one more other character."""
-        if not pieces:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         text = "\n".join(pieces)
+        if not text:
+            return np.zeros(0, np.int64), np.zeros(len(pieces), np.int64)
         if not text.isascii():
             text = normalize(text)
             raw = np.frombuffer(text.encode(), np.uint8)

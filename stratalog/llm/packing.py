@@ -13,57 +13,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe
+from .bpe import Bpe, Paths, spans_of
 from .common import slices
 
 WINDOW = 4096
 END_ID = 2
 #: Text bytes to a shard; its number of shards follows from the size of all texts.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Distinct tokens of a seed, the rarest, that ask the index.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Spans whose ids a worker keeps before it starts anew.
-KEPT_SPANS = 300_000
+KEPT_SPANS = 200_000
 
 
-class Encoder(dict):
+class Encoder(Paths):
     """Ids of spans without ASCII blanks, as little-endian bytes; no token of the tokenizer reaches over a blank.
 
     New spans are encoded many at a time by the compiled tables; those with characters from U+0250 on by the library itself.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(KEPT_SPANS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.bpe = Bpe(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.brief: list[bytes] = []
 
-    def __missing__(self, span: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(span.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+    def learn(self, spans: list[bytes]) -> None:
+        missing = self.missing(spans)
+        if not missing:
+            return
+        words = b"\n".join(missing).decode().split("\n")
+        plain = [w if w.isascii() or max(w) < "\u0250" else "" for w in words]
+        flat, counts = self.bpe.spans(plain)
+        raw, ends = flat.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+        self.update(zip(missing, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        for i, w in enumerate(plain):
+            if not w:
+                self[missing[i]] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        for span in self.brief:
-            self.pop(span, None)
-        if len(self) >= KEPT_SPANS:
-            self.clear()
-        # In a text that is all ASCII, case doesn't matter but in special strings.
-        spans = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
-        missing = list(set().union(*spans).difference(self))
-        words = [s.decode() for s in missing]
-        plain = [i for i, w in enumerate(words) if w.isascii() or max(w) < "\u0250"]
-        flat, counts = self.bpe.spans([words[i] for i in plain])
-        raw, ends = flat.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
-        self.update(zip((missing[i] for i in plain), (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        for i in {*range(len(words))}.difference(plain):
-            self[missing[i]] = self.__missing__(missing[i])
-        self.brief = [s for s in missing if len(s) > 64]
-        return [b"".join(map(self.__getitem__, s)) for s in spans]
+        return [b"".join(x) for x in self.of([spans_of(t) for t in texts])]
 
 
 _encoders: dict[str, Encoder] = {}

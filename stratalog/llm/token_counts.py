@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe
+from .bpe import Bpe, Paths, spans_of
 from .common import slices
 
 CHUNK = 1 << 15
 #: Paths that a machine keeps before it starts anew; this bounds its memory.
-KEPT_PATHS = 300_000
+KEPT_PATHS = 200_000
 LIMIT = 2048
 
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -36,30 +36,21 @@ class StateMap(NamedTuple):
     synced: bool
 
 
-class Transducer(dict):
+class Transducer(Paths):
     """Span -> emitted tokens; paths that aren't known yet are compiled when they are asked for."""
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(KEPT_PATHS)
         self.bpe = Bpe(path)
-        self.brief: list[bytes] = []
-
-    def compile(self, texts: list[bytes]) -> None:
-        """Adds the transitions that the spans of these texts need. Those of long spans are dropped by the next call."""
-        for span in self.brief:
-            self.pop(span, None)
-        if len(self) >= KEPT_PATHS:
-            self.clear()
-        missing = list(set().union(*(t.split() for t in texts)).difference(self))
-        if missing:
-            self.update(zip(missing, self.bpe.spans([s.decode() for s in missing])[1].tolist(), strict=True))
-        self.brief = [s for s in missing if len(s) > 64]
+
+    def learn(self, spans: list[bytes]) -> None:
+        """Compiles the transitions that these spans need."""
+        new = self.missing(spans)
+        if new:
+            self.update(zip(new, self.bpe.spans(b"\n".join(new).decode().split("\n"))[1].tolist(), strict=True))
 
     def __missing__(self, span: bytes) -> int:
-        n = int(self.bpe.spans([span.decode()])[1][0])
-        if len(span) <= 64 and len(self) < KEPT_PATHS:
-            self[span] = n
-        return n
+        return int(self.bpe.spans([span.decode()])[1][0])
 
     def map_of(self, chunk: bytes) -> StateMap:
         spans = chunk.split()
@@ -102,13 +93,18 @@ class Transducer(dict):
             while end < len(text) and text[end] & 0xC0 == 0x80:  # not inside a character
                 end -= 1
             cuts.append(end)
+        self.learn([s for s in text.split() if s not in self])
         maps = [self.map_of(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         return [self.closed(m) for m in self.scan(maps)]
 
-    def count(self, text: bytes, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return sum(map(self.__getitem__, text.split()))
-        return self.prefix_counts(text, chunk)[-1]
+    def counts(self, texts: list[bytes], chunk: int = CHUNK) -> list[int]:
+        """The tokens of each text."""
+        whole = [i for i, t in enumerate(texts) if len(t) <= chunk]
+        out = dict(zip(whole, map(sum, self.of([spans_of(texts[i]) for i in whole])), strict=True))
+        for i, t in enumerate(texts):
+            if len(t) > chunk:
+                out[i] = self.prefix_counts(t, chunk)[-1]
+        return [out[i] for i in range(len(texts))]
 
 
 _compiled: dict[str, Transducer] = {}
@@ -132,8 +128,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
         machine = transducer(tokenizer)
         for batch in batches:
             for part, texts in slices(batch, 1):
-                machine.compile(texts)
-                n = np.array([machine.count(t) for t in texts], np.int64)
+                n = np.array(machine.counts(texts), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([len(t) for t in texts], np.int64)), pa.array(n)], names=["id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
