@@ -61,12 +61,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         .withColumnsRenamed({"__id": "__did", "__row": "__drow"})
     )
     rest = [c for c in docs.columns if c not in ("n_lines_before", "n_lines_dropped")]
-    whole = docs.select(*rest, F.xxhash64(text).alias("__row"), _lines(F.col(text)).alias("__lines"))
-    joined = whole.join(dropped, F.col(doc_id).eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
+    # The document travels as one struct, so that its columns may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__doc"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__row"), _lines(F.col(text)).alias("__lines"))
+    joined = whole.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    kept = F.when(F.col("__drop").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
+    own = lambda c: F.col("__doc").getField(c)
+    kept = F.when(F.col("__drop").isNull(), own(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
     return joined.select(
-        *[kept.alias(text) if c == text else F.col(c) for c in rest],
+        *[kept.alias(text) if c == text else own(c).alias(c) for c in rest],
         F.size("__lines").cast("long").alias("n_lines_before"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_lines_dropped"),
     )
