@@ -353,3 +353,143 @@ class Bpe:
         heads = np.flatnonzero(begin & keep)
         counts = np.bincount(line[heads], n, len(pieces)).astype(np.int64)
         return flat, counts
+
+
+#: Bytes of texts that Words can read: ASCII without the apostrophe, and the two bytes of U+00C0 to U+00FF.
+_PLAIN = bytes(b for b in range(0x80) if b != 0x27) + bytes(range(0x80, 0xC0)) + b"\xc3"
+#: Lower case of these bytes: A-Z, and second bytes of U+00C0 to U+00DE but for the multiplication sign.
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A or (0x80 <= b <= 0x9E and b != 0x97) else b for b in range(256))
+_KIND = np.array([BLANK if b in b" \t\n\x0b\x0c\r" else NUMBER if 0x30 <= b <= 0x39 else LETTER if 0x61 <= b <= 0x7A or b >= 0x80 else OTHER for b in range(256)], np.uint8)
+
+
+def plain(text: bytes) -> bool:
+    """Whether Words can read a text: its characters have one-byte classes and cases, and it has no contractions or special strings."""
+    return not (text.translate(None, _PLAIN) or b"<|" in text or (not text.isascii() and (b"\xc3\x97" in text or b"\xc3\xb7" in text)))
+
+
+class Words:
+    """Ids of the pretokens of plain texts, by arrays alone.
+
+    The split machine runs over all bytes of many texts at once. A pretoken of at most 23 bytes is, with its length, its own key, as three integers, in an open table; what the table doesn't have is merged in bulk and added. Longer pretokens are merged each time. A full table starts anew.
+    """
+
+    WIDE = 23
+    BITS = 21
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self._clear()
+        bits = np.minimum(np.maximum(np.arange(self.WIDE + 1)[:, None] - 8 * np.arange(3), 0), 8) * 8
+        self.mask = np.array([[(1 << int(b)) - 1 for b in row] for row in bits], np.uint64)
+
+    def _clear(self) -> None:
+        size = 1 << self.BITS
+        self.entry = np.full(size, -1, np.int32)
+        self.n = 0
+        self.keys = np.empty((size // 2, 3), np.uint64)
+        self.counts = np.empty(size // 2, np.int32)
+        self.at = np.empty(size // 2, np.int64)
+        self.pool = np.empty(1 << 20, np.uint32)
+        self.used = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= (keys[:, 1] + (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= (keys[:, 2] + (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(32)
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        slot = self._slots(keys)
+        got = self.entry[slot].astype(np.int64)
+        rest = np.flatnonzero((got >= 0) & (self.keys[got] != keys).any(1))
+        slot = slot[rest]
+        while len(rest):
+            slot = (slot + 1) & (len(self.entry) - 1)
+            now = self.entry[slot]
+            got[rest] = now
+            more = (now >= 0) & (self.keys[now] != keys[rest]).any(1)
+            rest, slot = rest[more], slot[more]
+        return got
+
+    def _add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Adds different keys that aren't in the table."""
+        m = len(keys)
+        new = np.arange(self.n, self.n + m)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        self.keys[new], self.counts[new] = keys, counts
+        self.at[new] = self.used + np.cumsum(counts) - counts
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.n += m
+        slot = self._slots(keys)
+        while len(new):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = new[free]
+            lost = self.entry[slot] != new
+            new, slot = new[lost], (slot[lost] + 1) & (len(self.entry) - 1)
+
+    def _merge(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of pretokens at places of the bytes."""
+        ends = np.cumsum(lengths)
+        symbols = raw[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.bpe.first[symbols]
+        ids[ends - 1] = self.bpe.final[symbols[ends - 1]]
+        return self.bpe.merge(ids, lengths)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts one after another, and how many each has."""
+        whole = b"\n".join(texts).translate(_LOWER)
+        raw = np.frombuffer(whole + bytes(32), np.uint8)
+        kind = _KIND[raw[: len(whole)]]
+        cut = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)])) if len(whole) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(cut, len(whole)))
+        full = kind[cut] != BLANK
+        starts, lengths = cut[full], lengths[full]
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        per_text = np.searchsorted(starts, text_ends, "left")
+        short = lengths <= self.WIDE
+        every = bool(short.all())
+        s, n = (starts, lengths) if every else (starts[short], lengths[short])
+        windows = np.ndarray((len(whole) + 24,), "<u8", raw, strides=(1,))
+        keys = np.empty((len(s), 3), np.uint64)
+        mask = self.mask[n]
+        for i in range(3):
+            keys[:, i] = windows[s + 8 * i]
+        keys &= mask
+        keys[:, 2] |= n.astype(np.uint64) << np.uint64(56)
+        got = self._find(keys)
+        gone = np.flatnonzero(got < 0)
+        if len(gone):
+            order = gone[np.lexsort(keys[gone].T)]
+            new = np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(1)])
+            firsts = order[new]
+            if self.n + len(firsts) > len(self.keys):
+                crowded = self.n == 0
+                self._clear()
+                return self._parts(texts) if crowded else self.encode(texts)
+            ids, counts = self._merge(raw, s[firsts], n[firsts])
+            got[order] = self.n + np.cumsum(new) - 1
+            self._add(keys[firsts], ids, counts)
+        count, at = self.counts[got].astype(np.int64), self.at[got]
+        pool = self.pool
+        if not every:
+            ids, more = self._merge(raw, starts[~short], lengths[~short])
+            pool = np.concatenate([self.pool[: self.used], ids.astype(np.uint32)])
+            c, a = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+            c[short], a[short] = count, at
+            c[~short], a[~short] = more, self.used + np.cumsum(more) - more
+            count, at = c, a
+        total = np.concatenate([[0], np.cumsum(count)])
+        flat = pool[np.repeat(at - total[:-1], count) + np.arange(total[-1])]
+        return flat, np.diff(total[np.concatenate([[0], per_text])])
+
+    def _parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts with more different pretokens than an empty table holds: halves of them, and a single text without the table."""
+        if len(texts) > 1:
+            a, b = self.encode(texts[: len(texts) // 2]), self.encode(texts[len(texts) // 2 :])
+            return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        ids, counts = self.bpe.spans([w.decode() for w in texts[0].split()])
+        return ids.astype(np.uint32), np.array([counts.sum()])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Paths, spans_of
+from .bpe import Bpe, Paths, Words, plain, spans_of
 from .common import slices
 
 WINDOW = 4096
@@ -24,7 +24,9 @@ SHARD_BYTES = 4 << 20
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Spans whose ids a worker keeps before it starts anew.
-KEPT_SPANS = 200_000
+KEPT_SPANS = 100_000
+#: Text bytes encoded at a time.
+TEXT_BYTES = 2 << 20
 
 
 class Encoder(Paths):
@@ -39,6 +41,7 @@ class Encoder(Paths):
         from tokenizers import Tokenizer
 
         self.bpe = Bpe(path)
+        self.words = Words(self.bpe)
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
@@ -47,17 +50,26 @@ class Encoder(Paths):
         if not missing:
             return
         words = b"\n".join(missing).decode().split("\n")
-        plain = [w if w.isascii() or max(w) < "\u0250" else "" for w in words]
-        flat, counts = self.bpe.spans(plain)
+        known = [w if w.isascii() or max(w) < "\u0250" else "" for w in words]
+        flat, counts = self.bpe.spans(known)
         raw, ends = flat.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
         self.update(zip(missing, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-        for i, w in enumerate(plain):
+        for i, w in enumerate(known):
             if not w:
                 self[missing[i]] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        return [b"".join(x) for x in self.of([spans_of(t) for t in texts])]
+        easy = [i for i, t in enumerate(texts) if plain(t)]
+        rest = sorted({*range(len(texts))}.difference(easy))
+        out: list[bytes] = [b""] * len(texts)
+        flat, counts = self.words.encode([texts[i] for i in easy])
+        raw, ends = flat.astype(self.kind).tobytes(), (np.cumsum(counts) * self.kind.itemsize).tolist()
+        for i, a, b in zip(easy, [0, *ends], ends, strict=False):
+            out[i] = raw[a:b]
+        for i, own in zip(rest, self.of([spans_of(texts[i]) for i in rest]), strict=True):
+            out[i] = b"".join(own)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -184,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         width = code.kind.itemsize
         end = np.array([end_id], code.kind).tobytes()
         for batch in batches:
-            for part, texts in slices(batch, 1):
+            for part, texts in slices(batch, 1, TEXT_BYTES):
                 row, starts, chunks, totals = [], [], [], []
                 for i, own in enumerate(code.encode(texts)):
                     ids = own + end
