@@ -113,3 +113,18 @@ def test_read_spans_tiers_in_order(spark, tmp_path):
         store.merge(i, trigger=2)
     assert [r.log_offset for r in log.fetch(store.read(), "t", 2, 7).collect()] == [2, 3, 4, 5, 6, 7]
     assert store.read().where(F.col("timeline") == "x").count() == 0
+
+
+def test_check_passes_and_finds(spark, tmp_path):
+    from stratalog.plans import check
+
+    assert check.run(spark, str(tmp_path / "log"), timelines=2, events=90, size=32, batches=6).count() == 0
+    sent = check.written(spark, 2, 0, 30, 32)
+    bad = (
+        sent.where("NOT (timeline = 'verify-0' AND log_offset = 7)")
+        .withColumn("payload", F.expr("CASE WHEN timeline = 'verify-1' AND log_offset = 3 THEN substr(payload, 1, 4) ELSE payload END"))
+        .unionByName(sent.where("timeline = 'verify-1' AND log_offset = 30").withColumn("log_offset", F.lit(31).cast("long")))
+        .withColumn("read_seq", F.col("log_offset"))
+    )
+    got = {(r.timeline, r.kind): r.n for r in check.findings(sent, bad, 32).collect()}
+    assert got == {("verify-0", "GAP"): 1, ("verify-0", "DURABILITY"): 1, ("verify-1", "CORRUPTION"): 1, ("verify-1", "PAYLOAD_MISMATCH"): 1, ("verify-1", "PHANTOM"): 1}

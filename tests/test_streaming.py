@@ -80,3 +80,22 @@ def test_watermarked_windows(spark, tmp_path):
     run()
     got = {r.s: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[0] == 2
+
+
+def test_counters(spark, tmp_path):
+    import time
+
+    from stratalog.streaming.progress import Counters
+
+    counters = Counters(spark)
+    try:
+        arrive(spark, str(tmp_path / "in"), 0, 10)
+        record(spark.readStream.schema(ARRIVALS).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "state")).awaitTermination()
+        for _ in range(50):
+            got = {r.name: r.value for r in counters.table().collect()} if counters.values else {}
+            if got.get("input_rows"):
+                break
+            time.sleep(0.2)
+        assert got["input_rows"] == 10 and got["batches"] >= 1
+    finally:
+        counters.close()
