@@ -47,6 +47,16 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start), [x or b"" for x in texts.slice(start).to_pylist()]
 
 
+def sample(docs: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
+    """(text): at most `rows` rows with a text, those with the least hashes of id and text.
+
+    The hashes alone are sorted; texts are taken in a second pass under the largest of them, so that no shuffle carries texts.
+    """
+    own = docs.select(F.xxhash64(F.lit("sample"), doc_id, text).alias("h"), F.col(text).alias("text")).where("text IS NOT NULL")
+    top = own.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return own.where(F.lit(False) if top is None else F.col("h") <= top).select("text").limit(rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder that the session names; its lineage ends there.
 

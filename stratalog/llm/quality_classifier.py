@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import sample, slices
 
 #: Documents that the scorer is fitted on, at most, drawn by a hash.
 MOST_FITTED = 6000
@@ -165,14 +165,13 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_FITTED) -> tuple[LabelModel, np.ndarray, float]:
-    """The label model, from the votes on all rows, and the scorer, from at most `most` rows drawn by a hash of their text.
+    """The label model, from the votes on all rows, and the scorer, from at most `most` rows drawn by a hash.
 
     What reaches the driver is one count per vote pattern, of which there are at most 3 ** labellers, and the drawn texts.
     """
     counts = label(docs, doc_id, text).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
     model = fit_labels(np.array([unpack(r.pattern) for r in counts], np.int64).reshape(-1, len(LABELLERS)), np.array([r.n for r in counts], float))
-    drawn = docs.select(F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("text is not null").orderBy("h").limit(most).select("text")
-    texts = [r.text.encode() for r in drawn.toLocalIterator()]
+    texts = [r.text.encode() for r in sample(docs, doc_id, text, most).toLocalIterator()]
     soft = model.posterior(np.array([votes(t) for t in texts], np.int64).reshape(-1, len(LABELLERS)))
     return model, *fit_scorer(texts, soft)
 
