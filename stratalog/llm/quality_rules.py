@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample as draw
 from .common import slices
 
 #: Documents that costs and rejections are estimated on.
@@ -150,11 +151,10 @@ def first_rejection(document: Document, ordered: list[int], rules: tuple[Rule, .
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, statistics: bool = False) -> DataFrame:
     """(id, rejected_by), and with `statistics` (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) for every row.
 
-    rejected_by is the name of the rule that stopped the cascade, null for texts that are kept. Which of several rules that would reject is named depends on the order, whether one is does not. Null reads as empty; empty texts fall to few_words. Rows that repeat are judged each; an empty table gives an empty one. The sample, `sample` rows by a hash of the text, only orders the rules. There is no shuffle but the sample's.
+    rejected_by is the name of the rule that stopped the cascade, null for texts that are kept. Which of several rules that would reject is named depends on the order, whether one is does not. Null reads as empty; empty texts fall to few_words. Rows that repeat are judged each; an empty table gives an empty one. The sample, `sample` rows by a hash, only orders the rules. There is no shuffle of texts.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    drawn = rows.select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(sample).select("text").collect()
-    ordered = order([(r.text or "").encode() for r in drawn])
+    ordered = order([r.text.encode() for r in draw(docs, doc_id, text, sample).collect()])
     kind = rows.schema["id"].dataType.simpleString()
     names = [r.name for r in RULES]
 
