@@ -20,7 +20,7 @@ _LOG = """log AS (
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all machines share: in the checkpoint folder that the session names, else in the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/stratalog-{uuid.uuid4().hex}"
 
 
