@@ -148,7 +148,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     kind = rows.schema["id"].dataType.simpleString()
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Index([(r.id, r.text.encode()) for r in part.toLocalIterator()]))
+        held = spark.sparkContext.broadcast(Index([(r.id, r.text.encode()) for r in part.collect()]))
         last = k == blocks - 1
         rows = rows.mapInArrow(_pass(held, k == 0, last), f"id {kind}, n_words long, n_hit long, items array<string>" if last else f"id {kind}, text string, hit binary, items array<string>")
     return rows
