@@ -22,11 +22,11 @@ MOST_LABELLED = 3000
 BUCKETS = 1 << 18
 NGRAMS = (4, 5, 6, 7)
 #: A feature is used if its share among positives is at least LIFT times that among unlabelled texts, with a z score of at least Z.
-LIFT = 4.0
+LIFT = 3.0
 Z = 3.5
 STEPS = 300
 RATE = 0.05
-DECAY = 2e-4
+DECAY = 2e-5
 THRESHOLD = 0.7
 #: Words that a worker keeps the features of before it starts anew.
 KEPT_WORDS = 200_000
@@ -54,7 +54,7 @@ class Model:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        """The bias and the weights of each text's distinct features."""
+        """The bias, and the weights of each text's distinct features over the root of their number."""
         memo = _memo(self)
         get = self.weights.get
         out = np.empty(len(texts))
@@ -65,7 +65,7 @@ class Model:
             for w in words.difference(memo):
                 memo[w] = tuple(f for f in features(w[:64]) if f in self.weights) or None
             found = set().union(*filter(None, map(memo.__getitem__, words)))
-            out[i] = self.bias + sum(map(get, found))
+            out[i] = self.bias + sum(map(get, found)) / max(1, len(found)) ** 0.5
         return out
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -129,12 +129,14 @@ def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Mo
     place[chosen] = np.arange(len(chosen))
 
     (rp, cp), (ru, cu) = _rows(positive, place), _rows(unlabelled, place)
+    # A text's features have length 1 together, so that a few telling words count in a short text as in a long one.
+    vp, vu = (1 / np.sqrt(np.maximum(1, np.bincount(r, minlength=n)))[r] for r, n in ((rp, n_p), (ru, n_u)))
     w, b = np.zeros(len(chosen)), start
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -40, 40)))
     for step in range(1, STEPS + 1):
-        sp = b + np.bincount(rp, w[cp], n_p)
-        su = b + np.bincount(ru, w[cu], n_u)
+        sp = b + np.bincount(rp, w[cp] * vp, n_p)
+        su = b + np.bincount(ru, w[cu] * vu, n_u)
         # Logistic loss: log(1 + e^-s) for "toxic", log(1 + e^s) for "clean".
         clean = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
         gp_toxic, gp_clean, gu_clean = -sigmoid(-sp) / n_p, sigmoid(sp) / n_p, sigmoid(su) / n_u
@@ -144,7 +146,7 @@ def fit_nnpu(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Mo
         else:
             # The corrected risk went negative: only undo that.
             gp, gu = prior * gp_clean, -gu_clean
-        grad = np.concatenate([np.bincount(cp, gp[rp], len(w)) + np.bincount(cu, gu[ru], len(w)) + DECAY * np.sign(w), [gp.sum() + gu.sum()]])
+        grad = np.concatenate([np.bincount(cp, gp[rp] * vp, len(w)) + np.bincount(cu, gu[ru] * vu, len(w)) + DECAY * np.sign(w), [gp.sum() + gu.sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - float(move[-1])
@@ -194,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     drawn = source.select("id").where(~held_out(F.col("id"))).orderBy(by_hash, "id").limit(MOST_UNLABELLED).collect()
     unlabelled = {r.id for r in drawn}
     chosen = spark.createDataFrame([(i,) for i in sorted(unlabelled | set(ids))], "id long")
-    texts: dict[int, bytes] = {r.id: r.text.encode() for r in source.join(F.broadcast(chosen), "id").toLocalIterator()}
+    # All partitions are scanned at once; the chosen rows then come in a few parts.
+    texts: dict[int, bytes] = {r.id: r.text.encode() for r in source.join(F.broadcast(chosen), "id").repartition(16).toLocalIterator()}
     positive = [texts[i] for i, kinds in sorted(ids.items()) if i in texts and any(k == "positive" for k, _ in kinds)]
     model = fit_nnpu(positive, [texts[i] for i in sorted(unlabelled) if i in texts], prior or 0.0)
     labelled = [(texts[i], t) for i, kinds in sorted(ids.items()) if i in texts for k, t in kinds if k == "labelled"]
