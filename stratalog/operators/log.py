@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CHUNK_ROWS, EARLIEST
+from .ordered import running_max
 
 
 def earliest() -> int:
@@ -100,14 +101,20 @@ def segment_ends(segments: DataFrame) -> DataFrame:
     return segments.withColumn("end_offset", F.lead("start_offset").over(w) - 1)
 
 
-def with_segment(log: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each event with the last segment that starts at or before it.
+def asof(events: DataFrame, marks: DataFrame, keys: list[str], at: str, start: str) -> DataFrame:
+    """Events with the columns of the last mark of their key whose start is at most the event's `at`; events before any mark are left out. Starts are unique in a key.
 
-    Segments are few, but not bounded: where they are small, adaptive execution broadcasts them; else both sides meet by timeline and the ranges are tested there.
+    Both sides run in one order, and the largest start so far is the mark's: an event is never paired with all marks of its key, and a hot key runs in buckets. The mark's other columns then come by an equi-join.
     """
-    s = segment_ends(segments).withColumnRenamed("timeline", "__t")
-    inside = (F.col("timeline") == F.col("__t")) & (F.col("log_offset") >= F.col("start_offset")) & (F.col("end_offset").isNull() | (F.col("log_offset") <= F.col("end_offset")))
-    return log.join(s, inside).drop("__t")
+    both = marks.select(*keys, (F.col(start) * 2).alias("__order"), F.col(start).alias("__own"), F.lit(None).cast(events.schema).alias("__event"))
+    both = both.unionByName(events.select(*keys, (F.col(at) * 2 + 1).alias("__order"), F.lit(None).cast(marks.schema[start].dataType).alias("__own"), F.struct("*").alias("__event")))
+    found = running_max(both, keys, "__order", "__own", "__start").where("__event IS NOT NULL AND __start IS NOT NULL").select("__event.*", F.col("__start").alias(start))
+    return found.join(marks, [*keys, start])
+
+
+def with_segment(log: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each event with the last segment that starts at or before it, and that segment's end_offset."""
+    return asof(log, segment_ends(segments), ["timeline"], "log_offset", "start_offset")
 
 
 def first_reachable(segments: DataFrame, reachable: DataFrame) -> DataFrame:

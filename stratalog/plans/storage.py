@@ -5,15 +5,15 @@ Flush writes a level-1 segment; merge rewrites all level-1 segments as one level
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.log import newest
 from ..operators.segments import expired
 
 MANIFEST = "segment_id long, level int, path string, location string, size long, entry_count long, created_at long"
+#: Columns of a segment's rows; seq orders writes over all batches.
+ROWS = "timeline string, log_offset long, seq long, payload string, segment_id long"
 TRIGGER = 4
 
 
@@ -50,15 +50,15 @@ class LogStore:
     def _segment(self, df: DataFrame, level: int, now_ms: int, rows: list[dict], path: str | None = None) -> dict:
         number = max([0, *(r["segment_id"] for r in rows)]) + 1
         path = path or f"{self.folder}/segments/L{level}_{number:06d}"
-        ordered = df.withColumn("segment_id", F.lit(number).cast("long")).repartitionByRange("timeline", "log_offset").sortWithinPartitions("timeline", "log_offset")
+        ordered = df.select("timeline", "log_offset", "seq", "payload", F.lit(number).cast("long").alias("segment_id")).repartitionByRange("timeline", "log_offset").sortWithinPartitions("timeline", "log_offset")
         ordered.write.mode("overwrite").parquet(path)
-        n, size = self.spark.read.parquet(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()
+        n, size = self.spark.read.schema(ROWS).parquet(path).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("payload")), F.lit(0))).first()
         return {"segment_id": number, "level": level, "path": path, "location": "local", "size": size, "entry_count": n, "created_at": now_ms}
 
     def scan(self, rows: list[dict] | None = None) -> DataFrame | None:
-        """All rows of the segments, with the number of theirs."""
-        parts = [self.spark.read.parquet(r["path"]) for r in (self._rows() if rows is None else rows)]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        """All rows of the segments, with the number of theirs: one scan over all paths."""
+        paths = [r["path"] for r in (self._rows() if rows is None else rows)]
+        return self.spark.read.schema(ROWS).parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
         """The newest version of each event, over all levels."""
@@ -85,15 +85,19 @@ class LogStore:
         return True
 
     def split(self, now_ms: int, trigger: int = TRIGGER) -> bool:
-        """One level-3 segment per timeline; each is read by a filter on its timeline."""
+        """One level-3 segment per timeline, all written by one job; a hot timeline's rows are spread over files by offset."""
         rows = self._rows()
         source = [r for r in rows if r["level"] == 2]
         if len(source) < trigger:
             return False
-        live = self._live(source)
-        made: list[dict] = []
-        for t in [r.timeline for r in live.select("timeline").distinct().collect()]:
-            made.append(self._segment(live.where(F.col("timeline") == t), 3, now_ms, rows + made))
+        live = self._live(source).drop("segment_id")
+        top = max(r["segment_id"] for r in rows)
+        ids = live.select("timeline").distinct().withColumn("segment_id", F.row_number().over(Window.orderBy("timeline")).cast("long") + top)
+        base = f"{self.folder}/segments/L3_from_{top + 1:06d}"
+        dealt = live.join(ids, "timeline").withColumn("part", F.col("segment_id")).repartitionByRange("part", "log_offset")
+        dealt.sortWithinPartitions("part", "log_offset").write.mode("overwrite").partitionBy("part").parquet(base)
+        sizes = self.spark.read.schema(ROWS).parquet(base).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("payload")), F.lit(0)).alias("size"))
+        made = [{"segment_id": r.segment_id, "level": 3, "path": f"{base}/part={r.segment_id}", "location": "local", "size": r["size"], "entry_count": r.n, "created_at": now_ms} for r in sizes.collect()]
         self._replace(rows, source, made)
         return True
 
@@ -104,7 +108,7 @@ class LogStore:
         for r in rows:
             if r["level"] == 3 and r["location"] == "local":
                 path = f"{cold}/L3_{r['segment_id']:06d}"
-                self.spark.read.parquet(r["path"]).write.mode("overwrite").parquet(path)
+                self.spark.read.schema(ROWS).parquet(r["path"]).write.mode("overwrite").parquet(path)
                 moved.append((r["path"], r | {"path": path, "location": "remote"}))
         if moved:
             new = {m["segment_id"]: m for _, m in moved}

@@ -28,6 +28,7 @@ class _Reader(DataSourceStreamReader):
         self.path, self.timeline = options["path"], options["timeline"]
         self.first = int(options.get("start", EARLIEST))
         self.rows = int(options.get("rows_per_partition", 100_000))
+        self.top = self.first - 1
         self.last = int(options["end"]) if "end" in options else None
 
     def _dataset(self):
@@ -39,14 +40,15 @@ class _Reader(DataSourceStreamReader):
         return {"next": self.first}
 
     def latestOffset(self) -> dict:
+        """The end of the log. Only row groups with offsets above the last known end are read, by their statistics."""
         import pyarrow.compute as pc
         import pyarrow.dataset as ds
 
-        top = self.first - 1
-        for batch in self._dataset().to_batches(columns=["log_offset"], filter=ds.field("timeline") == self.timeline):
+        newer = (ds.field("timeline") == self.timeline) & (ds.field("log_offset") > self.top)
+        for batch in self._dataset().to_batches(columns=["log_offset"], filter=newer):
             if batch.num_rows:
-                top = max(top, pc.max(batch["log_offset"]).as_py())
-        return {"next": (top if self.last is None else min(top, self.last)) + 1}
+                self.top = max(self.top, pc.max(batch["log_offset"]).as_py())
+        return {"next": (self.top if self.last is None else min(self.top, self.last)) + 1}
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         return [_Range(self.path, self.timeline, a, min(a + self.rows, end["next"])) for a in range(start["next"], end["next"], self.rows)]
