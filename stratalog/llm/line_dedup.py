@@ -53,8 +53,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         .where(F.col("__n") >= min_documents)
         .drop("__n")
     )
+    # Joined by a mix of the hashes, so that both sides are dealt anew and a line that very many documents share can be split over tasks; the sums' own partitioning would bind it to one.
+    mixed = lambda df: df.withColumn("__mix", F.col("__h1").bitwiseXOR(F.col("__h2")))
     dropped = (
-        base.join(shared, ["__h1", "__h2"])
+        mixed(base)
+        .join(mixed(shared), ["__mix", "__h1"])
         .where(~F.col("__id").eqNullSafe(F.col("__keeper")))
         .groupBy("__id", "__row")
         .agg(F.collect_set("__pos").alias("__drop"))
