@@ -111,6 +111,7 @@ RULES = (
     Rule("shouting", lambda d: _share(sum(w.isupper() and len(w) > 1 for w in d.words), len(d.words), 0.6)),
     Rule("bare_words", lambda d: _share(sum(not w.strip(_PUNCTUATION) for w in d.words), len(d.words), 0.3)),
     Rule("one_word", lambda d: len(d.words) >= MIN_WORDS and _share(max(Counter(d.words).values()), len(d.words), 0.35)),
+    Rule("stutter", lambda d: _share(sum(map(bytes.__eq__, d.words, d.words[1:])), len(d.words), 0.3)),
     Rule("distinct_words", lambda d: len(d.words) >= 50 and _share(len(d.words) - len(set(d.words)), len(d.words), 0.9)),
     Rule("repeated_lines", lambda d: _share(d.n_dup_lines(), len(d.lines), 0.5)),
     Rule("repeated_windows", lambda d: _share(d.n_repeat_words(), len(d.words), MOST_REPEATED / 100)),
@@ -205,13 +206,13 @@ WITH w AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'gs')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(repeats.n, 0) AS n_repeat_words,
-         coalesce(most, 0) AS most, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_upper, 0) AS n_upper, coalesce(n_bare, 0) AS n_bare
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_again, coalesce(most, 0) AS most, coalesce(n_distinct, 0) AS n_distinct, coalesce(n_upper, 0) AS n_upper, coalesce(n_bare, 0) AS n_bare
   FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN per USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-            OR 10 * n_symbols > 3 * n_words OR 10 * n_upper > 6 * n_words OR 10 * n_bare > 3 * n_words OR 20 * most > 7 * n_words
+            OR 10 * n_symbols > 3 * n_words OR 10 * n_upper > 6 * n_words OR 10 * n_bare > 3 * n_words OR 10 * n_again > 3 * n_words OR 20 * most > 7 * n_words
             OR (n_words >= 50 AND 10 * (n_words - n_distinct) > 9 * n_words) OR 2 * n_dup_lines > n_lines) AS kept
 FROM base
 """
