@@ -44,6 +44,7 @@ def measures(text: bytes) -> dict[str, float]:
         "upper": sum(w.isupper() and len(w) > 1 for w in words) / n,
         "stops": sum(c for w, c in counts.items() if w.lower().strip(b".,") in STOP_WORDS) / n,
         "distinct": len(counts) / n,
+        "again": sum(map(bytes.__eq__, words, words[1:])) / n,
         "most": max(counts.values(), default=0) / n,
         "ends": sum(x.rstrip()[-1:] in (b".", b"!", b"?", b'"', b":") for x in lines) / max(1, len(lines)),
         "same_lines": 1 - len(set(lines)) / max(1, len(lines)),
@@ -55,16 +56,25 @@ def _vote(value: float, bad_from: float, good_to: float) -> int:
     return BAD if value >= bad_from else GOOD if value <= good_to else NONE
 
 
+#: Words under which labellers that go by shares of words or lines don't vote.
+FEW = 12
+
+
+def _enough(vote):
+    return lambda m: vote(m) if m["n"] >= FEW else NONE
+
+
 LABELLERS = (
-    ("length", lambda m: BAD if m["n"] < 20 else GOOD if m["n"] >= 40 else NONE),
-    ("word_length", lambda m: GOOD if 3 <= m["length"] <= 10 else BAD),
+    ("length", lambda m: GOOD if m["n"] >= 40 else NONE),
+    ("word_length", lambda m: GOOD if 2 <= m["length"] <= 12 else BAD),
     ("symbols", lambda m: _vote(m["symbols"], 0.2, 0.02)),
     ("shouting", lambda m: _vote(m["upper"], 0.3, 0.05)),
-    ("stop_words", lambda m: GOOD if m["stops"] >= 0.1 else BAD if m["stops"] < 0.03 else NONE),
-    ("variety", lambda m: BAD if m["distinct"] < 0.15 else GOOD if m["distinct"] > 0.35 else NONE),
-    ("one_word", lambda m: _vote(m["most"], 0.2, 0.1)),
-    ("line_ends", lambda m: GOOD if m["ends"] >= 0.6 else BAD if m["ends"] < 0.1 else NONE),
-    ("same_lines", lambda m: _vote(m["same_lines"], 0.3, 0.02)),
+    ("stop_words", _enough(lambda m: GOOD if m["stops"] >= 0.1 else BAD if m["stops"] < 0.03 else NONE)),
+    ("stutter", _enough(lambda m: _vote(m["again"], 0.1, 0.01))),
+    ("variety", _enough(lambda m: BAD if m["distinct"] < 0.25 else GOOD if m["distinct"] > 0.4 else NONE)),
+    ("one_word", _enough(lambda m: _vote(m["most"], 0.2, 0.1))),
+    ("line_ends", _enough(lambda m: GOOD if m["ends"] >= 0.6 else BAD if m["ends"] < 0.1 else NONE)),
+    ("same_lines", _enough(lambda m: _vote(m["same_lines"], 0.3, 0.02))),
     ("letters", lambda m: GOOD if m["letters"] >= 0.75 else BAD if m["letters"] < 0.65 else NONE),
 )
 
@@ -83,7 +93,7 @@ def unpack(p: int, k: int = len(LABELLERS)) -> list[int]:
 
 
 class LabelModel:
-    """For each labeller, the chances of its three votes on bad and on good documents; and the share of good ones."""
+    """For each labeller that votes, the chances of its votes on bad and on good documents, and the share of good ones. That a labeller doesn't vote tells nothing: its chance counts as 1."""
 
     def __init__(self, chances: np.ndarray, share: float):
         self.chances, self.share = chances, share
@@ -100,16 +110,17 @@ def fit_labels(v: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> LabelM
     """Expectation-maximisation over vote patterns and their counts; it starts from the majority of the votes, which also says which side is good. Without patterns nothing is known of any labeller."""
     k = v.shape[1]
     if not len(v):
-        return LabelModel(np.full((2, k, 3), 1 / 3), 0.5)
+        return LabelModel(np.ones((2, k, 3)), 0.5)
     cast = np.maximum(1, (v != NONE).sum(1))
     q = np.clip((v == GOOD).sum(1) / cast, 0.05, 0.95) ** 2
     model = None
     for _ in range(rounds):
         chances = np.empty((2, k, 3))
         for side, w in ((0, count * (1 - q)), (1, count * q)):
-            for x in range(3):
+            for x in (BAD, GOOD):
                 chances[side, :, x] = (w[:, None] * (v == x)).sum(0) + 1
-            chances[side] /= chances[side].sum(1, keepdims=True)
+            chances[side, :, :NONE] /= chances[side, :, :NONE].sum(1, keepdims=True)
+            chances[side, :, NONE] = 1
         model = LabelModel(chances, float(np.clip((count * q).sum() / count.sum(), 0.01, 0.99)))
         new = model.posterior(v)
         if np.abs(new - q).max() < 1e-7:

@@ -71,8 +71,8 @@ def test_em_finds_accuracies():
     patterns, count = np.unique(votes, axis=0, return_counts=True)
     model = qc.fit_labels(patterns, count.astype(float))
     assert model.share == pytest.approx(0.7, abs=0.05)
-    cast = 1 - model.chances[:, :, qc.NONE]
-    assert (model.chances[1, :, qc.GOOD] / cast[1]) == pytest.approx(accuracy, abs=0.06)
+    assert model.chances[1, :, qc.GOOD] == pytest.approx(accuracy, abs=0.06)
+    assert model.posterior(np.full((1, 5), qc.NONE))[0] == pytest.approx(model.share)
     right = ((model.posterior(votes) > 0.5) == truth).mean()
     majority = (((votes == 1).sum(1) > (votes == 0).sum(1)) == truth).mean()
     assert right > 0.9 and right >= majority
