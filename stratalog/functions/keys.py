@@ -92,6 +92,20 @@ def align_up(size: Column, page: int = 4096) -> Column:
     return F.floor((size + page - 1) / page) * page
 
 
+def disk_usage(available: Column, total: Column) -> Column:
+    """Share of a disk that is used; 0 for one without a size."""
+    return F.when(total > 0, 1 - available / total).otherwise(0.0)
+
+
+def now_ms() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
+def cutoff_ms(now: Column, ttl_hours: Column) -> Column:
+    """Time before which what was made has outlived a time to live in hours."""
+    return now - ttl_hours * 3_600_000
+
+
 def clamped(value: Column, low: int, high: int) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

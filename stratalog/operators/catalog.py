@@ -109,6 +109,16 @@ class Catalog:
             self.delete("segments", s.version, name=name, start_offset=s.start_offset)
         self.delete("timelines", self.get("timelines", name=name)["version"], name=name)
 
+    def register_unit(self, address: str, zone: str = "", status: str = "WRITABLE", load: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> int:
+        """Puts a unit's registration with its load, over an older one if there is one."""
+        zone = zone or "default"
+        own = self.list("units").where((F.col("zone") == zone) & (F.col("address") == address)).first()
+        return self.put("units", -1 if own is None else own.version, zone=zone, address=address, status=status, cpu_usage=load[0], memory_usage=load[1], disk_usage=load[2])
+
+    def unregister_unit(self, address: str, zone: str = "") -> None:
+        zone = zone or "default"
+        self.delete("units", self.get("units", zone=zone, address=address)["version"], zone=zone, address=address)
+
     def last_segment(self, name: str):
         return self.list("segments").where(F.col("name") == name).orderBy(F.desc("start_offset")).first()
 

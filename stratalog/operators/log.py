@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..model import CHUNK_ROWS, EARLIEST
 from .ordered import running_max
@@ -53,6 +54,21 @@ def ack_view(log: DataFrame) -> DataFrame:
     return log.select("timeline", "term", "log_offset", F.lit(None).cast("string").alias("payload"), F.lit(-1).cast("long").alias("ts_ms"))
 
 
+def project_payload(log: DataFrame, schemas: dict[int, str], columns: dict[str, str]) -> DataFrame:
+    """Events with typed columns out of JSON payloads: schemas has the DDL of each schema_id, columns the names and types wanted. A column that an event's schema lacks, and what can't be parsed, is null; so are all of an event without a known schema."""
+    parsed = {i: F.from_json("payload", ddl) for i, ddl in schemas.items()}
+    fields = {i: T.StructType.fromDDL(ddl).fieldNames() for i, ddl in schemas.items()}
+
+    def value(name: str, kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for i, p in parsed.items():
+            if name in fields[i]:
+                out = F.when(F.col("schema_id") == i, p[name].cast(kind)).otherwise(out)
+        return out.alias(name)
+
+    return log.select("*", *[value(n, k) for n, k in columns.items()])
+
+
 def decodable(log: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that can be decoded, and how many can't by timeline."""
     good = F.coalesce(ok, F.lit(False))

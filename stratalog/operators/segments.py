@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import wal_number
 from .log import newest
 from .ordered import previous, running_sum
 
@@ -78,6 +79,22 @@ def compact_keys(log: DataFrame) -> DataFrame:
     return newest(log.where("key IS NOT NULL"), ["timeline", "key"], [F.col("log_offset")]).select(*log.columns).unionByName(log.where("key IS NULL"))
 
 
+def resolve(index: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Entries with the path and location of their segment; entries whose segment is unknown are left out."""
+    return index.join(manifest.select("segment_id", "path", "location"), "segment_id")
+
+
+def trim_wal(files: DataFrame, checkpoint: int) -> DataFrame:
+    """Write-ahead files (name, ..) that a checkpoint makes superfluous: those with a number below it."""
+    return files.where(wal_number(F.col("name")) < checkpoint)
+
+
+def needs_rotation(files: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The last write-ahead file, if it has grown to most_bytes."""
+    last = files.where(wal_number(F.col("name")).isNotNull()).orderBy(F.desc(wal_number(F.col("name")))).limit(1)
+    return last.where(F.col("size") >= most_bytes)
+
+
 def sizes(entries: DataFrame, length: str = "length") -> DataFrame:
     """(segment_id, size, entry_count)."""
     return entries.groupBy("segment_id").agg(F.sum(length).alias("size"), F.count(F.lit(1)).alias("entry_count"))

@@ -317,6 +317,31 @@ def _(spark, d):
     return segments.expired(_manifest(spark, d), 1_500_000, F.when(F.col("segment_id") % 2 == 0, 300_000).otherwise(900_000)).select("segment_id", "level")
 
 
+@query("index_resolve", f"WITH {_MANIFEST} SELECT l_orderkey AS timeline, l_linenumber AS log_offset, segment_id, '/segments/' || segment_id AS path, location FROM lineitem JOIN m ON l_partkey = segment_id WHERE l_quantity > 40")
+def _(spark, d):
+    index = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("timeline"), F.col("l_linenumber").alias("log_offset"), F.col("l_partkey").alias("segment_id"))
+    manifest = _manifest(spark, d).withColumn("path", F.concat(F.lit("/segments/"), F.col("segment_id").cast("string")))
+    return segments.resolve(index, manifest)
+
+
+@query("wal_trim", "SELECT format('{:08d}.log', p_partkey) AS name FROM part WHERE p_partkey % 3 <> 0 AND p_partkey < 150")
+def _(spark, d):
+    p = F.col("p_partkey")
+    return segments.trim_wal(table(spark, d, "part").select(F.when(p % 3 == 0, "x.txt").otherwise(K.wal_name(p)).alias("name")), 150)
+
+
+@query("payload_by_schema", f"WITH {_LOG} SELECT timeline, log_offset, CASE WHEN seq % 3 < 2 THEN CAST(json_extract_string(payload, '$.k') AS BIGINT) END AS k FROM log")
+def _(spark, d):
+    rows = events_log(spark, d).withColumn("schema_id", F.col("seq") % 3)
+    return log.project_payload(rows, {0: "k bigint", 1: "k int, other string"}, {"k": "bigint"}).select("timeline", "log_offset", "k")
+
+
+@query("disk_usage", "SELECT s_suppkey, round(CASE WHEN s_suppkey % 10 > 0 THEN 1 - (s_suppkey % 7) / CAST(s_suppkey % 10 + 7 AS DOUBLE) ELSE 0 END, 9) AS used FROM supplier")
+def _(spark, d):
+    s = F.col("s_suppkey")
+    return table(spark, d, "supplier").select("s_suppkey", F.round(K.disk_usage(s % 7, F.when(s % 10 > 0, s % 10 + 7).otherwise(0)), 9).alias("used"))
+
+
 @query("orphan_segments", "SELECT p_partkey AS segment_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
 def _(spark, d):
     index = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("segment_id"))

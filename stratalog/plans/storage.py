@@ -101,6 +101,10 @@ class LogStore:
         self._replace(rows, source, made)
         return True
 
+    def compact(self, now_ms: int) -> tuple[bool, bool]:
+        """Merge and split whatever there is, as an operator may ask for."""
+        return self.merge(now_ms, 1), self.split(now_ms, 1)
+
     def offload(self, cold: str) -> int:
         """Copies local level-3 segments to the cold path, and reads them from there; they stay level 3."""
         rows = self._rows()

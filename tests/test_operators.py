@@ -216,3 +216,25 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
     plan = log.fetch(conversations_log(spark, sf_dir), 3, 1, 3)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(conv_id,3)" in plan and "html" not in plan
+
+
+def test_wal_files(spark):
+    f = spark.createDataFrame([("00000001.log", 5), ("00000003.log", 64 << 20), ("x", 9), ("00000002.log", 1)], "name string, size long")
+    assert sorted(r.name for r in segments.trim_wal(f, 3).collect()) == ["00000001.log", "00000002.log"]
+    assert [r.name for r in segments.needs_rotation(f).collect()] == ["00000003.log"]
+    assert segments.needs_rotation(f.where("size < 100")).count() == 0
+
+
+def test_payload_schemas(spark):
+    df = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": "x", "b": true}'), (3, '{"a": 1}'), (1, "no json"), (None, "{}")], "schema_id long, payload string")
+    got = [(r.a, r.b) for r in log.project_payload(df, {1: "a int", 2: "a string, b boolean"}, {"a": "string", "b": "boolean"}).collect()]
+    assert got == [("1", None), ("x", True), (None, None), (None, None), (None, None)]
+
+
+def test_asof_with_many_marks(spark):
+    """Each event finds its mark without meeting all of them, also where the window is cut into buckets."""
+    events = spark.range(0, 500).select(F.lit("t").alias("timeline"), F.col("id").alias("log_offset"))
+    marks = spark.range(3, 500, 7).select(F.lit("t").alias("timeline"), F.col("id").alias("start_offset"), (F.col("id") * 2).alias("twice"))
+    got = log.asof(events, marks, ["timeline"], "log_offset", "start_offset")
+    assert {r.log_offset: (r.start_offset, r.twice) for r in got.collect()} == {o: (3 + (o - 3) // 7 * 7, 2 * (3 + (o - 3) // 7 * 7)) for o in range(3, 500)}
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

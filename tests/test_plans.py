@@ -128,3 +128,19 @@ def test_check_passes_and_finds(spark, tmp_path):
     )
     got = {(r.timeline, r.kind): r.n for r in check.findings(sent, bad, 32).collect()}
     assert got == {("verify-0", "GAP"): 1, ("verify-0", "DURABILITY"): 1, ("verify-1", "CORRUPTION"): 1, ("verify-1", "PAYLOAD_MISMATCH"): 1, ("verify-1", "PHANTOM"): 1}
+
+
+def test_units(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    assert c.register_unit("a", load=(0.1, 0.2, 0.3)) == 0 and c.register_unit("a", status="READONLY") == 1
+    c.register_unit("b", "z")
+    assert {(r.zone, r.address, r.status) for r in c.list("units").collect()} == {("default", "a", "READONLY"), ("z", "b", "WRITABLE")}
+    c.unregister_unit("b", "z")
+    assert [r.address for r in c.list("units").collect()] == ["a"]
+
+
+def test_compaction_on_demand(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"))
+    store.flush(spark.createDataFrame([("t", 1, 1, "a"), ("u v/w", 1, 2, "b")], BATCH), 0)
+    assert store.compact(1) == (True, True) and levels(store) == [3, 3]
+    assert payloads(store) == {("t", 1): "a", ("u v/w", 1): "b"}
