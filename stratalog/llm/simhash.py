@@ -237,9 +237,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the first of their group, with all their columns."""
+    """The documents that are the first of their group, with all their columns. All rows of a repeated id stay if one of them is first; documents without an id stay."""
     first = near_duplicates(docs, doc_id, text).where("id = component").select(F.col("id").alias("__first")).distinct()
-    return docs.join(first, docs[doc_id].cast("long") == first["__first"], "left_semi")
+    first = first.unionByName(docs.sparkSession.createDataFrame([(None,)], "__first long"))
+    return docs.join(first, docs[doc_id].cast("long").eqNullSafe(first["__first"]), "left_semi")
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
