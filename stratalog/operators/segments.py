@@ -47,7 +47,7 @@ def index_delete_range(index: DataFrame, timeline, start: int, end: int) -> Data
 
 def by_segment(index: DataFrame, ids: DataFrame) -> DataFrame:
     """Entries of the given segments."""
-    return index.join(ids.select("segment_id").distinct(), "segment_id", "left_semi")
+    return index.join(ids.select("segment_id"), "segment_id", "left_semi")
 
 
 def orphans(manifest: DataFrame, index: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def expired(manifest: DataFrame, now_ms: int, ttl_ms: Column) -> DataFrame:
 
 def retain(index: DataFrame, gone: DataFrame) -> DataFrame:
     """The index without the entries of removed segments."""
-    return index.join(gone.select("segment_id").distinct(), "segment_id", "left_anti")
+    return index.join(gone.select("segment_id"), "segment_id", "left_anti")
 
 
 def compact_keys(log: DataFrame) -> DataFrame:
