@@ -29,6 +29,7 @@ LIMIT = 2048
 
 _BLANK = b" \t\n\x0b\x0c\r"
 
+
 class StateMap(NamedTuple):
     """What a chunk does. Without blanks (synced false) it only lengthens the open span by head."""
 
@@ -88,17 +89,26 @@ class Transducer(Paths):
         """Tokens of a map that begins between spans, with the open span counted as if it ended here."""
         return m.count + sum(self[s] for s in (m.head, m.tail) if s)
 
-    def prefix_counts(self, text: bytes, chunk: int = CHUNK) -> list[int]:
-        """Tokens up to the end of each chunk; the last is the text's count."""
+    def fold(self, maps: list[StateMap]) -> StateMap:
+        """The map of all chunks, by composing neighbours level by level; what stands before each chunk isn't built."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0] if maps else StateMap(b"", 0, b"", False)
+
+    def maps(self, text: bytes, chunk: int = CHUNK) -> list[StateMap]:
+        """The maps of a text's chunks, which aren't cut inside a character."""
         cuts = [0]
         while cuts[-1] < len(text):
             end = min(cuts[-1] + max(4, chunk), len(text))
-            while end < len(text) and text[end] & 0xC0 == 0x80:  # not inside a character
+            while end < len(text) and text[end] & 0xC0 == 0x80:
                 end -= 1
             cuts.append(end)
         self.learn([s for s in text.split() if s not in self])
-        maps = [self.map_of(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return [self.closed(m) for m in self.scan(maps)]
+        return [self.map_of(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def prefix_counts(self, text: bytes, chunk: int = CHUNK) -> list[int]:
+        """Tokens up to the end of each chunk, as if the text ended there; the last is the text's count."""
+        return [self.closed(m) for m in self.scan(self.maps(text, chunk))]
 
     def counts(self, texts: list[bytes], chunk: int = CHUNK) -> list[int]:
         """The tokens of each text."""
@@ -111,7 +121,7 @@ class Transducer(Paths):
             out[i] = n
         for i, t in enumerate(texts):
             if len(t) > chunk:
-                out[i] = self.prefix_counts(t, chunk)[-1]
+                out[i] = self.closed(self.fold(self.maps(t, chunk)))
         return out
 
 

@@ -85,6 +85,7 @@ def test_prefix_scan_is_a_running_count(machine, library):
     text = " ".join(texts(6, 60, 12)).replace("<|", "")
     raw = text.encode()
     counts = machine.prefix_counts(raw, 50)
+    assert machine.fold(machine.maps(raw, 50)) == machine.scan(machine.maps(raw, 50))[-1]
     assert counts[-1] == len(library.encode(text, add_special_tokens=False).ids)
     assert counts == sorted(counts) or len(counts) < 2 or min(np.diff(counts)) >= -3
 
