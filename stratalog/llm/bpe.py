@@ -374,7 +374,7 @@ class Words:
     """
 
     WIDE = 23
-    BITS = 21
+    BITS = 20
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe

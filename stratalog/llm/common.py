@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as numpy arrays at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that bytes.split() splits at: space, tab to carriage return.

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -145,12 +146,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(-(-size // block_bytes)) or 1
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    array = T.ArrayType(T.StringType())
+    between = T.StructType([rows.schema["id"], T.StructField("text", T.StringType()), T.StructField("hit", T.BinaryType()), T.StructField("items", array)])
+    counted = T.StructType([rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", array)])
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
         held = spark.sparkContext.broadcast(Index([(r.id, r.text.encode()) for r in part.collect()]))
         last = k == blocks - 1
-        rows = rows.mapInArrow(_pass(held, k == 0, last), f"id {kind}, n_words long, n_hit long, items array<string>" if last else f"id {kind}, text string, hit binary, items array<string>")
+        rows = rows.mapInArrow(_pass(held, k == 0, last), counted if last else between)
     return rows
 
 
@@ -170,15 +173,10 @@ def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of which fewer than 1 in SHARE words are hit, with all their columns.
-
-    Rows are told apart by id and text, so that a repeated id keeps its clean rows.
-    """
-    tagged = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("row")).alias("key"), F.col(text).alias("text"))
-    found = contamination(tagged, benchmark, "key", "text")
-    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__row"))
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__row"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of which fewer than 1 in SHARE words are hit, with all their columns, which travel with the count; nothing is shuffled."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return contamination(rows, benchmark, "row", "text").where((F.col("n_hit") == 0) | (F.col("n_hit") * SHARE < F.col("n_words"))).select("id.*")
 
 
 ORACLE_SQL = r"""

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: Any number; joins by a mix of a key can be split where the key's own partitioning can't.
+MIX = 0x5DEECE66D
+
 
 def _star(links: DataFrame) -> DataFrame:
     """(u, v, m): every link with m, the least of u and its neighbours.
 
-    The least is summed up before the shuffle, and the join back is one that adaptive execution may split, so that a hub's links need not meet in a task.
+    The least is summed up before the shuffle. The join back is by a mix of u, which deals both sides anew, so that adaptive execution can split a hub's links over tasks; the sums' own partitioning would bind them to one.
     """
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    mixed = F.col("u").bitwiseXOR(F.lit(MIX)).alias("__mix")
+    least = links.groupBy("u").agg(F.min("v").alias("m")).select(mixed, F.least("u", "m").alias("m"))
+    return links.select("u", "v", mixed).join(least, "__mix").select("u", "v", "m")
 
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, slices
-from .graph import components
+from .graph import MIX, components
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -211,13 +211,16 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     """
     upper = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("m1"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks(list(range(64))))]))
     nodes = prints.select("fp", "doc", upper.alias("n")).select(F.col("n.m1").alias("m1"), F.col("n.key").alias("key"), "fp", "doc")
-    large = nodes.groupBy("m1", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > NODE_ROWS).select("m1", "key")
-    small = nodes.join(large, ["m1", "key"], "left_anti").select("m1", F.lit(-1).cast("short").alias("m2"), "key", "fp", "doc")
+    # Joined by a mix of the key, so that a crowded node's rows can be split over tasks.
+    mix = F.col("key").bitwiseXOR(F.lit(MIX)).alias("mix")
+    large = nodes.groupBy("m1", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > NODE_ROWS).select("m1", mix)
+    nodes = nodes.withColumn("mix", mix)
+    small = nodes.join(large, ["m1", "mix"], "left_anti").select("m1", F.lit(-1).cast("short").alias("m2"), "key", "fp", "doc")
     lower = []
     for i, m in enumerate(_masks(list(range(64)))):
         free = [b for b in range(64) if not m >> b & 1]
         lower.append(F.array(*[F.struct(F.lit(k).cast("short").alias("m2"), F.col("fp").bitwiseAND(F.lit(m | s)).alias("key")) for k, s in enumerate(_masks(free))]))
-    factored = nodes.join(large, ["m1", "key"], "left_semi").select("m1", "fp", "doc", F.explode(F.element_at(F.array(*lower), F.col("m1").cast("int") + 1)).alias("n")).select("m1", F.col("n.m2").alias("m2"), F.col("n.key").alias("key"), "fp", "doc")
+    factored = nodes.join(large, ["m1", "mix"], "left_semi").select("m1", "fp", "doc", F.explode(F.element_at(F.array(*lower), F.col("m1").cast("int") + 1)).alias("n")).select("m1", F.col("n.m2").alias("m2"), F.col("n.key").alias("key"), "fp", "doc")
     every = small.unionByName(factored).repartition("m1", "m2", "key").sortWithinPartitions("m1", "m2", "key")
     return every.mapInArrow(_forest, "u long, v long")
 

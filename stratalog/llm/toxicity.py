@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -29,7 +30,7 @@ RATE = 0.05
 DECAY = 2e-5
 THRESHOLD = 0.7
 #: Words that a worker keeps the features of before it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 #: ASCII characters other than letters and digits become spaces.
 _WORDS = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
@@ -52,10 +53,15 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+        self._memo: dict[bytes, tuple[int, ...] | None] = {}
+
+    def __reduce__(self):
+        """What is kept of words stays where it was gathered."""
+        return Model, (self.weights, self.bias, self.slope, self.shift)
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """The bias, and the weights of each text's distinct features over the root of their number."""
-        memo = _memo(self)
+        memo = self._memo
         get = self.weights.get
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
@@ -72,16 +78,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -40, 40)))
 
 
-_memos: dict[int, dict] = {}
-
-
-def _memo(model: Model) -> dict:
-    if id(model) not in _memos:
-        _memos.clear()
-        _memos[id(model)] = {}
-    return _memos[id(model)]
-
-
 def _counts(texts: list[bytes]) -> np.ndarray:
     """In how many texts each bucket occurs."""
     memo: dict[bytes, list[int]] = {}
@@ -92,7 +88,7 @@ def _counts(texts: list[bytes]) -> np.ndarray:
             memo[w] = features(w[:64])
         found = set().union(*map(memo.__getitem__, words))
         out[np.fromiter(found, np.int64, len(found))] += 1
-        if len(memo) > KEPT_WORDS // 4:
+        if len(memo) > KEPT_WORDS // 2:
             memo.clear()
     return out
 
@@ -214,7 +210,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             for part, texts in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.scores(texts), pa.float64())], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("score", T.DoubleType())]))
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -228,8 +224,6 @@ def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that score under THRESHOLD, with all their columns. Rows are told apart by id and text."""
-    model = train(docs, labels, doc_id, text)
-    tagged = docs.select(F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("row")).alias("key"), F.col(text).alias("text"))
-    bad = score(tagged, model, "key", "text").where(F.col("score") >= THRESHOLD).select(F.col("id.id").alias("__id"), F.col("id.row").alias("__row"))
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text]) == bad["__row"]), "left_anti")
+    """The rows that score under THRESHOLD, with all their columns, which travel with the score; nothing is shuffled."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return score(rows, train(docs, labels, doc_id, text), "row", "text").where(F.col("score") < THRESHOLD).select("id.*")
