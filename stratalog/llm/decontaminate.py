@@ -98,42 +98,54 @@ class Index:
         return np.concatenate(places), np.concatenate(found)
 
 
+def _found(index: Index, texts: list[bytes]) -> tuple[list[np.ndarray], list[set[str]]]:
+    """For each text, which of its words are hit, and the items that have a window in it."""
+    get = index.vocabulary.get
+    words = [words_of(t) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    ids = np.array([get(w, -1) for ws in words for w in ws], np.int32)
+    ends = np.cumsum(n)
+    starts = ends - n
+    place, window = index.hits(ids, starts, ends)
+    step = np.zeros(len(ids) + 1, np.int64)
+    np.add.at(step, place, 1)
+    np.add.at(step, place + index.length[window], -1)
+    hit = np.cumsum(step[:-1]) > 0
+    items: list[set[str]] = [set() for _ in texts]
+    for d, w in set(zip(np.searchsorted(ends, place, "right").tolist(), window.tolist(), strict=True)):
+        items[d] |= index.holders[w]
+    return [hit[s:e] for s, e in zip(starts, ends, strict=True)], items
+
+
 def _pass(held, first: bool, last: bool):
     """A narrow step over (id, text, hit, items): adds one block's hits; the last step counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = held.value
-        get = index.vocabulary.get
         for batch in batches:
             for part, texts in slices(batch, 1):
-                words = [words_of(t) for t in texts]
-                n = np.array([len(w) for w in words], np.int64)
-                ids = np.array([get(w, -1) for ws in words for w in ws], np.int32)
-                ends = np.cumsum(n)
-                starts = ends - n
-                place, window = index.hits(ids, starts, ends)
-                step = np.zeros(len(ids) + 1, np.int64)
-                np.add.at(step, place, 1)
-                np.add.at(step, place + index.length[window], -1)
-                hit = np.cumsum(step[:-1]) > 0
-                items: list[set[str]] = [set() for _ in texts]
-                for d, w in set(zip(np.searchsorted(ends, place, "right").tolist(), window.tolist(), strict=True)):
-                    items[d] |= index.holders[w]
-                marks = [hit[s:e] for s, e in zip(starts, ends, strict=True)]
+                marks, items = _found(held.value, texts)
                 if not first:
                     marks = [m | np.unpackbits(np.frombuffer(b, np.uint8), count=len(m)).astype(bool) for m, b in zip(marks, part.column(2).to_pylist(), strict=True)]
                     items = [s | set(b) for s, b in zip(items, part.column(3).to_pylist(), strict=True)]
+                named = pa.array([sorted(s) for s in items], pa.list_(pa.string()))
                 if not last:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.packbits(m).tobytes() for m in marks], pa.binary()), pa.array([sorted(s) for s in items], pa.list_(pa.string()))], names=["id", "text", "hit", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([np.packbits(m).tobytes() for m in marks], pa.binary()), named], names=["id", "text", "hit", "items"])
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array([int(m.sum()) for m in marks], pa.int64()), pa.array([sorted(s) for s in items], pa.list_(pa.string()))],
-                    names=["id", "n_words", "n_hit", "items"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(m) for m in marks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64()), named], names=["id", "n_words", "n_hit", "items"])
 
     return run
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list:
+    """Broadcast indexes over the items, each of at most about block_bytes of text; one for an empty benchmark."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(-(-size // block_bytes)) or 1
+    context = benchmark.sparkSession.sparkContext
+    part = lambda k: items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+    return [context.broadcast(Index([(r.id, r.text.encode()) for r in part(k).collect()])) for k in range(blocks)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_words, n_hit, items) for every row of docs: its words, those inside an occurrence of a benchmark window, and the sorted ids, as strings, of the items that have one.
 
@@ -141,19 +153,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     The benchmark's size is measured first. Up to block_bytes it is one broadcast index; beyond that as many as needed, each of bounded size, which pass over the documents one after another without a shuffle.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(-(-size // block_bytes)) or 1
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     array = T.ArrayType(T.StringType())
     between = T.StructType([rows.schema["id"], T.StructField("text", T.StringType()), T.StructField("hit", T.BinaryType()), T.StructField("items", array)])
     counted = T.StructType([rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", array)])
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(Index([(r.id, r.text.encode()) for r in part.collect()]))
-        last = k == blocks - 1
-        rows = rows.mapInArrow(_pass(held, k == 0, last), counted if last else between)
+    held = _blocks(benchmark, item_id, item_text, block_bytes)
+    for k, index in enumerate(held):
+        last = k == len(held) - 1
+        rows = rows.mapInArrow(_pass(index, k == 0, last), counted if last else between)
     return rows
 
 
@@ -173,10 +180,21 @@ def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of which fewer than 1 in SHARE words are hit, with all their columns, which travel with the count; nothing is shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return contamination(rows, benchmark, "row", "text").where((F.col("n_hit") == 0) | (F.col("n_hit") * SHARE < F.col("n_words"))).select("id.*")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of which fewer than 1 in SHARE words are hit, with all their columns. Rows are filtered where they are searched; nothing is shuffled. All blocks of the benchmark are searched for one slice of texts after another."""
+    held = _blocks(benchmark, item_id, item_text, block_bytes)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                hit = None
+                for index in held:
+                    marks, _ = _found(index.value, texts)
+                    hit = marks if hit is None else [a | b for a, b in zip(hit, marks, strict=True)]
+                yield part.filter(pa.array([int(m.sum()) == 0 or int(m.sum()) * SHARE < len(m) for m in hit], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 ORACLE_SQL = r"""

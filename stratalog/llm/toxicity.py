@@ -30,7 +30,9 @@ RATE = 0.05
 DECAY = 2e-5
 THRESHOLD = 0.7
 #: Words that a worker keeps the features of before it starts anew.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 250_000
+#: The same while features are counted, where each word holds a list of them.
+KEPT_LISTS = 40_000
 
 #: ASCII characters other than letters and digits become spaces.
 _WORDS = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
@@ -88,7 +90,7 @@ def _counts(texts: list[bytes]) -> np.ndarray:
             memo[w] = features(w[:64])
         found = set().union(*map(memo.__getitem__, words))
         out[np.fromiter(found, np.int64, len(found))] += 1
-        if len(memo) > KEPT_WORDS // 2:
+        if len(memo) > KEPT_LISTS:
             memo.clear()
     return out
 
@@ -224,6 +226,13 @@ def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that score under THRESHOLD, with all their columns, which travel with the score; nothing is shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    return score(rows, train(docs, labels, doc_id, text), "row", "text").where(F.col("score") < THRESHOLD).select("id.*")
+    """The rows that score under THRESHOLD, with all their columns. Rows are filtered where they are scored; nothing is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id, text))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                yield part.filter(pa.array(held.value.scores(texts) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -83,6 +83,8 @@ def test_empty_tables_and_dropping(spark):
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert sorted(r.id for r in dc.drop_contaminated(d, b).collect()) == ["l", "n"]
     assert dc.drop_contaminated(d, b.where("false")).count() == 4
+    more = b.unionByName(spark.createDataFrame([(i, f"zz{i} " * 20) for i in range(9)], b.schema))
+    assert sorted(r.id for r in dc.drop_contaminated(d, more, block_bytes=100).collect()) == ["l", "n"]
     assert dc.op10_decontaminate(d.where("false"), b).count() == 0
 
 
