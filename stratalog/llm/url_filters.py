@@ -1,6 +1,6 @@
 """URL filters: rules by host and path, then naive Bayes over the words that hosts and paths are made of.
 
-Host labels are often several words written as one. A unigram model of words, counted over all URLs, splits them by a Viterbi search for the likeliest words. Multinomial naive Bayes over these words and the path's then tells blocked hosts from others; it is trained on all URLs, with those as blocked whose host has a seed word as one of its words.
+Host labels are often several words written as one. A unigram model of words, counted over all URLs, splits them by a Viterbi search for the likeliest words; a label's own count is left out when it is split, so that a name does not become a word by standing in many URLs. Multinomial naive Bayes over these words and the path's then tells blocked hosts from others; it is trained on all URLs, with those as blocked whose host has a seed word as one of its words.
 """
 
 from __future__ import annotations
@@ -68,27 +68,44 @@ class Rules:
 
 
 class Segmenter:
-    """Viterbi over a unigram model; an unknown word costs more the longer it is."""
+    """Viterbi over a unigram model; an unknown word costs more the longer it is.
 
-    def __init__(self, counts: dict[str, int]):
+    `own` has what labels count as whole labels. That part of a label's count is left out when the label itself is split, and when it comes up as a part of another label, which is then split further: a joined name never vouches for itself, however often it stands in URLs. A label that was counted is either whole or all known words, so that frequent words don't cut it up.
+    """
+
+    def __init__(self, counts: dict[str, int], own: dict[str, int] | None = None):
+        own = own or {}
         self.total = sum(counts.values()) or 1
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.rest = {w: counts[w] - n for w, n in own.items()}
 
     def cost(self, word: str) -> float:
         known = self.log.get(word)
         return known if known is not None else math.log(1 / self.total) - 1 - 2.3 * len(word)
 
+    def alone(self, label: str) -> float:
+        """The cost of a whole label, without its own count."""
+        rest = self.rest.get(label)
+        if rest is None:
+            return self.cost(label)
+        return math.log(rest / self.total) if rest else math.log(1 / self.total) - 1 - 2.3 * len(label)
+
     def split(self, label: str) -> list[str]:
-        """The likeliest words that make up the label; of equal ones, the split with the longest last word."""
+        """The likeliest words that make up the label; of equal ones, the split with the longest last word. Words that are labels themselves are split in turn."""
+        part = (lambda w: self.log.get(w, -math.inf)) if label in self.rest else self.cost
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(label) + 1):
-            best.append(max((best[start][0] + self.cost(label[start:end]), -start) for start in range(max(0, end - LONGEST), end)))
-            best[-1] = (best[-1][0], -best[-1][1])
+            ways = [(best[start][0] + part(label[start:end]), -start) for start in range(max(1 if end == len(label) else 0, end - LONGEST), end)]
+            if end == len(label):
+                ways.append((self.alone(label), 0))
+            score, start = max(ways)
+            best.append((score, -start))
         words, end = [], len(label)
         while end:
             words.append(label[best[end][1] : end])
             end = best[end][1]
-        return words[::-1]
+        words.reverse()
+        return words if len(words) < 2 else [x for w in words for x in (self.split(w) if w in self.rest else [w])]
 
 
 def host_words(segmenter: Segmenter, host: str) -> list[str]:
@@ -117,15 +134,16 @@ def _urls(pages: DataFrame, page_id: str, url: str) -> DataFrame:
     return pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"))
 
 
-def unigrams(pages: DataFrame, url: str = "url", most: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the words that stand apart in hosts, over all rows, the `most` most frequent, with the seeds."""
+def unigrams(pages: DataFrame, url: str = "url", most: int = VOCABULARY) -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of the words that stand apart in hosts, over all rows, the `most` most frequent, with the seeds and without."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1))
     words = pages.select(F.explode(F.split(host, r"[^0-9a-z\x{80}-\x{10ffff}]+")).alias("w")).where("w <> '' and length(w) <= 64")
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    out = {r.w: r.n for r in counts.collect()}
+    own = {r.w: r.n for r in counts.collect()}
+    out = dict(own)
     for seed in SEEDS:
         out[seed] = out.get(seed, 0) + SEED_COUNT
-    return out
+    return out, own
 
 
 def train(pages: DataFrame, segmenter: Segmenter, url: str = "url", most: int = VOCABULARY) -> Bayes:
@@ -162,7 +180,7 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
 
     A rule decides where one fits; else log_odds over 0 blocks. Null urls and those without "://" have an empty host and path, fit no rule and are judged by the prior alone. Rows that repeat are judged each and count each in training; an empty table gives an empty one.
     """
-    segmenter = Segmenter(unigrams(pages, url))
+    segmenter = Segmenter(*unigrams(pages, url))
     context = pages.sparkSession.sparkContext
     held = context.broadcast((Rules(rules), segmenter, train(pages, segmenter, url)))
     rows = _urls(pages, page_id, url)

@@ -53,6 +53,18 @@ def test_joined_seed_words_are_blocked(spark):
     assert got["http://cheappills.example.org/fr/3"].words == ["cheap", "pills", "example", "org"]
 
 
+def test_a_joined_host_with_many_urls_is_split(spark):
+    """However many URLs a joined name stands in, and however large the table."""
+    hosts = ["news.example.org", "blog.example.org", "garden.example.org", "cheap-pills.example.org"]
+    urls = [f"http://{h}/fr/{i}" for i in range(5000) for h in hosts] + [f"http://{h}.example.org/fr/{i}" for i in range(3000) for h in ("cheappills", "cheappillsblog")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.host: r for r in uf.filter_urls(df).collect()}
+    assert got["cheappills.example.org"].words == ["cheap", "pills", "example", "org"]
+    assert got["cheappillsblog.example.org"].words == ["cheap", "pills", "blog", "example", "org"]
+    assert got["garden.example.org"].words == ["garden", "example", "org"]
+    assert {h for h, r in got.items() if r.verdict == "block"} == {h for h in got if "pills" in h}
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = {r.page_id: r.url for r in pages.collect()}
