@@ -1,11 +1,12 @@
 """Packing of documents into sequences of equal length, related documents together.
 
-Documents are tokenized and cut into chunks of one window at most. Whole windows are sequences already. The rests are dealt at random into shards of bounded size; in each, a BM25 inverted index over token ids returns, for a seed, the unused documents that are closest to it, which fill the seed's window greedily. A document that doesn't fit is cut, and its rest is the next seed. So only a shard's last window is not full; it is cut at powers of two, which need no padding.
+Documents are tokenized and cut into chunks of one window at most. Whole windows are sequences already. The rests are ordered by min-hashes of their tokens, in which rare tokens weigh more, and cut into shards of bounded size, so that rests that share much meet at every size of the input; in each, a BM25 inverted index over token ids, with the document frequencies and mean length of all rests, returns, for a seed, the unused documents that are closest to it, which fill the seed's window greedily. A document that doesn't fit is cut, and its rest is the next seed. So only a shard's last window is not full; it is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import os
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Bpe, Paths, Words, plain, spans_of
-from .common import slices
+from .common import checkpointed, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -23,6 +24,10 @@ SHARD_BYTES = 4 << 20
 #: Distinct tokens of a seed, the rarest, that ask the index.
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
+#: Min-hashes of a rest, the first of which count most in the order.
+HASHES = 4
+#: Rests to a shard that the shards' bounds are drawn from.
+SAMPLED = 64
 #: Spans whose ids a worker keeps before it starts anew.
 KEPT_SPANS = 100_000
 #: Text bytes encoded at a time.
@@ -82,16 +87,18 @@ def encoder(path: str) -> Encoder:
 
 
 class InvertedIndex:
-    """BM25 over the token ids of a shard's documents."""
+    """BM25 over the token ids of a shard's documents; idf by token id and mean length are those of all shards, or without them the shard's own."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], all_idf: np.ndarray | None = None, mean: float | None = None):
         n = len(docs)
         length = np.array([len(d) for d in docs], np.int64)
         code, tf = np.unique(np.repeat(np.arange(n), length) << 32 | np.concatenate(docs).astype(np.int64) if n else np.zeros(0, np.int64), return_counts=True)
         doc, term = code >> 32, code & 0xFFFFFFFF
         terms, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1, length.mean() if n else 1)))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) if all_idf is None else all_idf[terms]
+        if mean is None:
+            mean = length.mean() if n else 1
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(1, mean)))
         order = np.argsort(term, kind="stable")
         self.n, self.idf, self.df = n, idf, df
         self.postings, self.weights = doc[order].astype(np.int32), weight[order]
@@ -110,9 +117,52 @@ class InvertedIndex:
         return np.bincount(np.concatenate([self.postings[s] for s in lists]), np.concatenate([self.weights[s] for s in lists]), self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+class Corpus:
+    """What all rests have in common: idf by token id, mean length, and the order of tokens for each min-hash."""
+
+    def __init__(self, df: np.ndarray, n: int, total: int):
+        self.idf, self.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / max(1, n)
+        # The first of a text's tokens in a random order, in which a token's chance to be early grows with its idf. Tokens that no two rests share come last.
+        draws = [np.where(df > 1, np.random.default_rng(k).exponential(size=len(df)) / np.maximum(self.idf, 1e-9), np.inf) for k in range(HASHES)]
+        self.ranks = [np.where(df > 1, d.argsort(kind="stable").argsort(kind="stable"), len(df)).astype(np.uint32) for d in draws]
+
+    def key(self, ids: np.ndarray, row: int) -> bytes:
+        """Min-hashes as bytes in their order, and a mix of the row's number, by which a large group of copies can be cut."""
+        mixed = (row * 0x9E3779B97F4A7C15) & (1 << 64) - 1
+        return np.array([r[ids].min() for r in self.ranks], ">u4").tobytes() + mixed.to_bytes(8, "big")
+
+
+def _corpus(chunks: DataFrame, kind: np.dtype, window: int) -> Corpus:
+    """Document frequencies of all tokens over all rests; one row per token is collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = total = 0
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                ids = np.frombuffer(chunk, kind)
+                if len(ids) == window:
+                    continue
+                if (size := int(ids.max()) + 1) > len(df):
+                    df, at = (np.concatenate([x, np.zeros(size - len(df), np.int64)]) for x in (df, at))
+                places = np.arange(len(ids))
+                at[ids] = places
+                df[ids[at[ids] == places]] += 1
+                n, total = n + 1, total + len(ids)
+        own = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *own.tolist()], pa.int64()), pa.array([total, n, *df[own].tolist()], pa.int64())], names=["token", "n"])
+
+    found = chunks.select("chunk").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(found.column("token").to_pylist(), found.column("n").to_pylist(), strict=True))
+    n, total = counts.pop(-1, 0), counts.pop(-2, 0)
+    df = np.zeros(max(counts, default=0) + 1, np.int64)
+    df[list(counts)] = list(counts.values())
+    return Corpus(df, n, total)
+
+
+def fill(docs: list[np.ndarray], window: int = WINDOW, all_idf: np.ndarray | None = None, mean: float | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start, length); every id is in exactly one piece."""
-    index = InvertedIndex(docs)
+    index = InvertedIndex(docs, all_idf, mean)
     left = np.array([len(d) for d in docs], np.int64)
     unused = left > 0
     start = np.zeros(len(docs), np.int64)
@@ -184,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     A document's ids are those of its text without special tokens, then end_id; null text is empty, so every row gives at least one id. start counts the document's ids before the piece. Sequences have window ids, but for those at a shard's end, whose lengths are powers of two. Rows that repeat are packed each by itself; an empty table gives an empty one. `tokenizer` is the path of the file on every machine.
 
-    A row of the shuffle holds one chunk of at most a window, so that a text of any length is spread out; rows are dealt by a hash of the chunk, so that no key gathers them.
+    A row of the shuffle holds one chunk of at most a window, so that a text of any length is spread out. Chunks are written to the checkpoint folder, as they are read for the document frequencies, for the shards' bounds, which a sample of the rests gives, and for the dealing. Whole windows are dealt by row; rests by their order, which a mix of the row's number ends, so that no key gathers them.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -218,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         whole = [k for k, x in enumerate(ids) if len(x) == window]
         rest = [k for k, x in enumerate(ids) if len(x) < window]
         rows = [[(k, 0, window)] for k in whole]
-        packed = [[(rest[d], s, n) for d, s, n in row] for row in fill([ids[k] for k in rest], window)]
+        packed = [[(rest[d], s, n) for d, s, n in row] for row in fill([ids[k] for k in rest], window, held.value[0].idf, held.value[0].mean)]
         rows += packed[:-1]
         rows += _halved(packed[-1], window) if packed else []
         pieces = [(k, s, n, (shard << 32) + q, o) for q, row in enumerate(rows) for (k, s, n), o in zip(row, np.cumsum([0, *(n for _, _, n in row)]).tolist(), strict=False)]
@@ -235,8 +285,37 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             }
         )
 
-    chunks = rows.mapInArrow(tokenize, f"id {kind}, start long, doc_tokens long, chunk binary")
-    dealt = chunks.withColumn("shard", F.pmod(F.xxhash64("id", "start", "chunk"), F.lit(shards)))
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of = encoder(tokenizer).kind
+        for batch in batches:
+            own = [np.frombuffer(c, kind_of) for c in batch.column(0).to_pylist()]
+            found = [(common.value.key(x, r), len(x)) for x, r in zip(own, batch.column(1).to_pylist(), strict=True) if len(x) < window]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, bounds = held.value
+        kind_of = encoder(tokenizer).kind
+        for batch in batches:
+            own = [np.frombuffer(c, kind_of) for c in batch.column(3).to_pylist()]
+            shard = [bisect_right(bounds, corpus.key(x, r)) if len(x) < window else r % shards for x, r in zip(own, batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shard, pa.int64())], names=["id", "start", "doc_tokens", "chunk", "shard"])
+
+    context = docs.sparkSession.sparkContext
+    # The number tells rows apart in the checkpoint, whose order doesn't change; mixed, as it counts on within a partition.
+    numbered = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1).alias("row")
+    chunks = checkpointed(rows.mapInArrow(tokenize, f"id {kind}, start long, doc_tokens long, chunk binary")).select("*", numbered)
+    corpus = _corpus(chunks, encoder(tokenizer).kind, window)
+    common = context.broadcast(corpus)
+    bounds: list[bytes] = []
+    if shards > 1:
+        drawn = min(1.0, SAMPLED * shards / max(1, chunks.count()))
+        sampled = chunks.where(F.col("row") <= int(drawn * ((1 << 63) - 1))) if drawn < 1 else chunks
+        found = sampled.select("chunk", "row").mapInArrow(keys, "key binary, n long").toArrow()
+        ordered = sorted(zip(found.column("key").to_pylist(), found.column("n").to_pylist(), strict=True))
+        ends = np.cumsum([n for _, n in ordered])
+        bounds = [ordered[i][0] for i in np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards)] if ordered else []
+    held = context.broadcast((corpus, bounds))
+    dealt = chunks.mapInArrow(deal, f"id {kind}, start long, doc_tokens long, chunk binary, shard long")
     return dealt.groupBy("shard").applyInArrow(place, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

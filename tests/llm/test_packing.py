@@ -100,3 +100,34 @@ def test_bm25_scores():
     n, df, avg = 3, 2, 3.0
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
     assert s[2] == 0 and s[1] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (1 - 0.75 + 0.75 * 3 / avg)))
+
+
+def test_related_documents_meet_among_many_shards(spark):
+    """Copies far apart in the table, and texts of one subject, are dealt to one shard."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(2000)]
+    subjects = [rng.sample(words, 40) for _ in range(60)]
+    copies = [" ".join(rng.choices(subjects[i % 60], k=120)) for i in range(120)]
+    df = spark.createDataFrame([(i, copies[i % 120]) for i in range(240)], "doc_id long, text string")
+    shards = defaultdict(set)
+    pieces = packing.pack(df, PATH, shard_bytes=12_000).collect()
+    for p in pieces:
+        shards[p.id].add(p.sequence_id >> 32)
+    assert len(set().union(*shards.values())) > 12
+    assert sum(bool(shards[i] & shards[i + 120]) for i in range(120)) > 90
+    assert sum(bool(shards[i] & shards[i + 60]) for i in range(60)) > 30
+
+
+def test_one_group_of_copies_is_cut_into_shards(spark):
+    df = spark.createDataFrame([(1, "the same text over and over " * 40)] * 400, "doc_id long, text string")
+    sizes = defaultdict(int)
+    for p in packing.pack(df, PATH, shard_bytes=50_000).collect():
+        sizes[p.sequence_id >> 32] += p.length
+    assert len(sizes) > 5 and max(sizes.values()) < 3 * min(sizes.values())
+
+
+def test_index_takes_frequencies_of_all_shards():
+    docs = [np.array(x, np.uint16) for x in ([1, 2], [1, 3], [2, 3])]
+    idf = np.array([0.0, 0.1, 5.0, 1.0])
+    s = packing.InvertedIndex(docs, idf, 2.0).scores(0)
+    assert s[2] == pytest.approx(5.0) and s[1] == pytest.approx(0.1)
