@@ -21,8 +21,6 @@ WINDOW = 4096
 END_ID = 2
 #: Text bytes to a shard; its number of shards follows from the size of all texts.
 SHARD_BYTES = 4 << 20
-#: Distinct tokens of a seed, the rarest, that ask the index.
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Min-hashes of a rest, the first of which count most in the order.
 HASHES = 4
@@ -104,17 +102,34 @@ class InvertedIndex:
         self.postings, self.weights = doc[order].astype(np.int32), weight[order]
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.own, self.own_at = term, np.searchsorted(doc, np.arange(n + 1))
+        # The same by document, of those that are still asked for.
+        self.docs, self.rows, self.terms, self.row_weights = np.arange(n), self.own_at[:-1], term, weight
+
+    def drop(self, unused: np.ndarray) -> None:
+        """Leaves out used documents from what scores() reads, once they are half of it."""
+        kept = unused[self.docs]
+        if len(kept) < 2 * np.count_nonzero(kept):
+            return
+        sizes = np.diff(np.append(self.rows, len(self.terms)))
+        held = np.repeat(kept, sizes)
+        self.docs, self.terms, self.row_weights = self.docs[kept], self.terms[held], self.row_weights[held]
+        self.rows = np.concatenate([[0], np.cumsum(sizes[kept])[:-1]]).astype(np.int64) if len(self.docs) else np.zeros(0, np.int64)
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document for the seed's rarest terms that others have too."""
+        """BM25 of every document, but for dropped ones, for all of the seed's terms that others have too."""
         own = self.own[self.own_at[seed] : self.own_at[seed + 1]]
         own = own[self.df[own] > 1]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(self.df[own], QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(own):
-            return np.zeros(self.n)
-        lists = [slice(self.at[t], self.at[t + 1]) for t in own]
-        return np.bincount(np.concatenate([self.postings[s] for s in lists]), np.concatenate([self.weights[s] for s in lists]), self.n)
+        out = np.zeros(self.n)
+        if not len(own) or not len(self.docs):
+            return out
+        # Few postings are gathered by term; for many, one pass over what the documents hold is cheaper.
+        if 4 * self.df[own].sum() < len(self.terms):
+            lists = [slice(self.at[t], self.at[t + 1]) for t in own]
+            return np.bincount(np.concatenate([self.postings[s] for s in lists]), np.concatenate([self.weights[s] for s in lists]), self.n)
+        asked = np.zeros(len(self.df))
+        asked[own] = 1
+        out[self.docs] = np.add.reduceat(asked[self.terms] * self.row_weights, self.rows)
+        return out
 
 
 class Corpus:
@@ -187,6 +202,7 @@ def fill(docs: list[np.ndarray], window: int = WINDOW, all_idf: np.ndarray | Non
         room = window - take(seed, window, row)
         cut = seed if left[seed] else None
         if room:
+            index.drop(unused)
             score = np.where(unused, index.scores(seed), 0)
             near = np.flatnonzero(score)
             near = near[np.argsort(-score[near], kind="stable")]

@@ -131,3 +131,24 @@ def test_index_takes_frequencies_of_all_shards():
     idf = np.array([0.0, 0.1, 5.0, 1.0])
     s = packing.InvertedIndex(docs, idf, 2.0).scores(0)
     assert s[2] == pytest.approx(5.0) and s[1] == pytest.approx(0.1)
+
+
+def test_all_terms_of_a_seed_count():
+    """A document that shares hundreds of a seed's tokens comes before those that share a few rarer ones."""
+    seed, near = np.arange(1000, dtype=np.uint16), np.arange(100, 800, dtype=np.uint16)
+    chance = [np.array([900 + i, 5000 + i], np.uint16) for i in range(30)]
+    others = [np.arange(100, 800, 3, dtype=np.uint16), np.arange(101, 800, 3, dtype=np.uint16)]
+    docs = [seed, near, *others, *chance]
+    index = packing.InvertedIndex(docs)
+    s = index.scores(0)
+    mean = np.mean([len(d) for d in docs])
+    for d in range(1, len(docs)):
+        want = 0
+        for t in set(docs[d].tolist()) & set(range(1000)):
+            df = sum(t in x for x in docs)
+            want += np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+        assert s[d] == pytest.approx(want)
+    assert s[1:].argmax() == 0
+    unused = np.arange(len(docs)) % 5 == 1
+    index.drop(unused)
+    assert index.scores(0)[unused] == pytest.approx(s[unused])
