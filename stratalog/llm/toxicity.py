@@ -5,6 +5,8 @@ Confirmed toxic texts are the positive sample; texts of the corpus, toxic ones a
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,22 +36,57 @@ KEPT_WORDS = 250_000
 #: The same while features are counted, where each word holds a list of them.
 KEPT_LISTS = 40_000
 
+#: Bytes of the longest word that a worker keeps the features of.
+KEPT_BYTES = 64
+#: Bytes of a word whose n-grams are held at a time.
+GRAM_BYTES = 1 << 16
+
 #: ASCII characters other than letters and digits become spaces.
 _WORDS = bytes(b if b > 0x7F or chr(b).isalnum() else 0x20 for b in range(256))
 
 
+#: Other blanks, controls and punctuation, and the zero-width space and mark.
+_BREAKS = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c)[0] in "ZP" or unicodedata.category(c) == "Cc" or c in "\u200b\ufeff") + "]+")
+
+
 def words_of(text: bytes) -> set[bytes]:
-    """The distinct lower-cased words."""
-    return set(text.decode().lower().encode().translate(_WORDS).split())
+    """The distinct lower-cased words, between blanks and punctuation of any script."""
+    words = set(text.decode().lower().encode().translate(_WORDS).split())
+    for w in [w for w in words if not w.isascii()]:
+        parts = _BREAKS.split(w.decode())
+        if len(parts) > 1:
+            words.remove(w)
+            words.update(p.encode() for p in parts if p)
+    return words
 
 
 def features(word: bytes) -> list[int]:
     """Hashed features of a word: itself, and its n-grams with an end mark on each side."""
     marked = b"<" + word + b">"
+    if len(marked) > GRAM_BYTES:
+        found = {zlib.crc32(marked + b"#") % BUCKETS}
+        for at in range(0, len(marked), GRAM_BYTES):
+            block = marked[at : at + GRAM_BYTES + max(NGRAMS) - 1]
+            found.update(zlib.crc32(block[i : i + n]) % BUCKETS for n in NGRAMS for i in range(min(GRAM_BYTES, len(block) - n + 1)))
+        return list(found)
     grams = {marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1)}
     return [zlib.crc32(g) % BUCKETS for g in (marked + b"#", *grams)]
 
 
+def _found(words: set[bytes], memo: dict, of) -> set[int]:
+    """All that `of` gives for the words; it is kept in memo for those that aren't long."""
+    out: set[int] = set()
+    short = set()
+    for w in words:
+        if len(w) <= KEPT_BYTES:
+            short.add(w)
+        else:
+            out.update(of(w) or ())
+    for w in short.difference(memo):
+        memo[w] = of(w)
+    return out.union(*filter(None, map(memo.__getitem__, short)))
+
+
 class Model:
     """Weights by bucket, and the scale that turns a sum of them into a probability."""
 
@@ -70,9 +107,7 @@ class Model:
             words = words_of(text)
             if len(memo) > KEPT_WORDS:
                 memo.clear()
-            for w in words.difference(memo):
-                memo[w] = tuple(f for f in features(w[:64]) if f in self.weights) or None
-            found = set().union(*filter(None, map(memo.__getitem__, words)))
+            found = _found(words, memo, lambda w: tuple(f for f in features(w) if f in self.weights) or None)
             out[i] = self.bias + sum(map(get, found)) / max(1, len(found)) ** 0.5
         return out
 
@@ -86,9 +121,7 @@ def _counts(texts: list[bytes]) -> np.ndarray:
     out = np.zeros(BUCKETS)
     for text in texts:
         words = words_of(text)
-        for w in words.difference(memo):
-            memo[w] = features(w[:64])
-        found = set().union(*map(memo.__getitem__, words))
+        found = _found(words, memo, features)
         out[np.fromiter(found, np.int64, len(found))] += 1
         if len(memo) > KEPT_LISTS:
             memo.clear()
@@ -104,9 +137,7 @@ def _rows(texts: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray
         words = words_of(text)
         if len(memo) > KEPT_WORDS:
             memo.clear()
-        for w in words.difference(memo):
-            memo[w] = tuple(chosen[f] for f in features(w[:64]) if f in chosen) or None
-        found = set().union(*filter(None, map(memo.__getitem__, words)))
+        found = _found(words, memo, lambda w: tuple(chosen[f] for f in features(w) if f in chosen) or None)
         row += [i] * len(found)
         column += sorted(found)
     return np.array(row, np.int64), np.array(column, np.int64)

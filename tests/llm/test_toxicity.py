@@ -73,3 +73,28 @@ def test_drop_keeps_clean_rows_of_a_repeated_id(spark, monkeypatch):
 @pytest.mark.parametrize("text", [b"", b"\xff".decode("latin1").encode(), "ÄÖ ß İ".encode()])
 def test_words(text):
     assert all(isinstance(w, bytes) for w in toxicity.words_of(text))
+
+
+def test_whole_of_a_long_word_is_scored():
+    """A text without blanks counts beyond its first bytes, in fitting and in scoring."""
+    rng = random.Random(3)
+    run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5E00)) for _ in range(n))
+    positive = [(run(200) + "\u9f98\u9f97\u9f96" + run(20)).encode() for _ in range(60)]
+    clean = [run(220).encode() for _ in range(300)]
+    model = toxicity.fit_nnpu(positive, clean, 0.1)
+    start = run(644)
+    assert model.margins([(start + "\u9f98\u9f97\u9f96" + run(5)).encode()])[0] > model.margins([start.encode()])[0] + 1
+    assert set(toxicity._counts([b"x" * 100 + b"vile"]).nonzero()[0]) == set(toxicity.features(b"x" * 100 + b"vile"))
+
+
+def test_features_of_a_very_long_word_are_those_of_its_ngrams(monkeypatch):
+    word = bytes(random.Random(5).choices(b"abcdef", k=500))
+    want = set(toxicity.features(word))
+    for size in (64, 100, 501):
+        monkeypatch.setattr(toxicity, "GRAM_BYTES", size)
+        assert set(toxicity.features(word)) == want
+
+
+def test_words_end_at_blanks_and_marks_of_any_script():
+    text = "a\u00a0b\u3000c\uff0cd\u3002e\u2014f\u0085g \u00e4\u0308h-\u0e01\u0e34"
+    assert toxicity.words_of(text.encode()) == {w.encode() for w in [*"abcdefg", "\u00e4\u0308h", "\u0e01\u0e34"]}
