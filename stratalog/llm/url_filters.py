@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +28,10 @@ RULES = (
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "cheap", "gambling", "lottery", "pills", "poker", "porn", "replica", "sex", "spam", "viagra", "xxx")
 #: Seeds and their usual company count so often, besides what the URLs hold.
 SEED_COUNT = 50
-#: Words in the unigram model and tokens in the classifier, the most frequent: the size of what is broadcast.
-VOCABULARY = 50_000
-LONGEST = 24
+#: Counts that a worker gathers before it hands them on.
+KEPT_COUNTS = 50_000
+#: Buckets that the classifier's tokens are counted in, all of them, by a hash of the whole token.
+BUCKETS = 1 << 20
 KEPT_HOSTS = 100_000
 
 _SPLIT = re.compile(r"[^0-9a-z\u0080-\U0010ffff]+")
@@ -78,6 +80,7 @@ class Segmenter:
         self.total = sum(counts.values()) or 1
         self.log = {w: math.log(n / self.total) for w, n in counts.items()}
         self.rest = {w: counts[w] - n for w, n in own.items()}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def cost(self, word: str) -> float:
         known = self.log.get(word)
@@ -92,13 +95,15 @@ class Segmenter:
 
     def split(self, label: str) -> list[str]:
         """The likeliest words that make up the label; of equal ones, the split with the longest last word. Words that are labels themselves are split in turn."""
-        part = (lambda w: self.log.get(w, -math.inf)) if label in self.rest else self.cost
+        counted = label in self.rest
+        part = (lambda w: self.log.get(w, -math.inf)) if counted else self.cost
         best: list[tuple[float, int]] = [(0.0, 0)]
         for end in range(1, len(label) + 1):
-            ways = [(best[start][0] + part(label[start:end]), -start) for start in range(max(1 if end == len(label) else 0, end - LONGEST), end)]
+            starts = [end - n for n in self.lengths if n <= end and n < len(label)] if counted else range(1 if end == len(label) else 0, end)
+            ways = [(best[start][0] + part(label[start:end]), -start) for start in starts]
             if end == len(label):
                 ways.append((self.alone(label), 0))
-            score, start = max(ways)
+            score, start = max(ways, default=(-math.inf, 0))
             best.append((score, -start))
         words, end = [], len(label)
         while end:
@@ -120,13 +125,13 @@ def path_words(path: str) -> list[str]:
 class Bayes:
     """Multinomial naive Bayes with add-one counts."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]], rows: tuple[int, int]):
+    def __init__(self, counts: dict, rows: tuple[int, int]):
         self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
         size = len(counts) + 1
         clean, bad = (sum(c[k] for c in counts.values()) + size for k in (0, 1))
         self.weight = {w: math.log((b + 1) / bad) - math.log((a + 1) / clean) for w, (a, b) in counts.items()}
 
-    def log_odds(self, words: list[str]) -> float:
+    def log_odds(self, words: list) -> float:
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
 
@@ -134,23 +139,42 @@ def _urls(pages: DataFrame, page_id: str, url: str) -> DataFrame:
     return pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"))
 
 
-def unigrams(pages: DataFrame, url: str = "url", most: int = VOCABULARY) -> tuple[dict[str, int], dict[str, int]]:
-    """Counts of the words that stand apart in hosts, over all rows, the `most` most frequent, with the seeds and without."""
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[\s\S]*?://([^/?#]*)", 1))
-    words = pages.select(F.explode(F.split(host, r"[^0-9a-z\x{80}-\x{10ffff}]+")).alias("w")).where("w <> '' and length(w) <= 64")
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    own = {r.w: r.n for r in counts.collect()}
+def token(word: str) -> int:
+    """The bucket that a word is counted in."""
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def unigrams(pages: DataFrame, url: str = "url") -> tuple[dict[str, int], dict[str, int]]:
+    """Counts of all words that stand apart in hosts, over all rows, with the seeds and without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, int] = {}
+        for batch in batches:
+            for u in batch.column(1).to_pylist():
+                for w in _SPLIT.split(parts(u)[0]):
+                    if w:
+                        counts[w] = counts.get(w, 0) + 1
+            if len(counts) > KEPT_COUNTS:
+                yield _table(counts)
+                counts = {}
+        yield _table(counts)
+
+    def _table(counts: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+
+    found = _urls(pages, url, url).mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
+    own = dict(zip(found.column("w").to_pylist(), found.column("n").to_pylist(), strict=True))
     out = dict(own)
     for seed in SEEDS:
         out[seed] = out.get(seed, 0) + SEED_COUNT
     return out, own
 
 
-def train(pages: DataFrame, segmenter: Segmenter, url: str = "url", most: int = VOCABULARY) -> Bayes:
-    """Token counts by class, over all rows. Repeated tokens are summed up before the shuffle; what is collected is bounded by `most`."""
+def train(pages: DataFrame, segmenter: Segmenter, url: str = "url") -> Bayes:
+    """Counts of all tokens by class and bucket, over all rows. Repeated tokens are summed up before the shuffle; what is collected is bounded by BUCKETS. Rows are counted in bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts: dict[int, list[int]] = {}
         for batch in batches:
             hosts: dict[str, list[str]] = {}
             for u in batch.column(1).to_pylist():
@@ -159,20 +183,20 @@ def train(pages: DataFrame, segmenter: Segmenter, url: str = "url", most: int =
                     hosts[host] = host_words(segmenter, host)
                 words = hosts[host]
                 k = int(any(w in SEEDS for w in words))
-                for w in ("", *words, *path_words(path)):
-                    counts.setdefault(w[:64], [0, 0])[k] += 1
-            if len(counts) > VOCABULARY:
+                for b in (-1, *map(token, words), *map(token, path_words(path))):
+                    counts.setdefault(b, [0, 0])[k] += 1
+            if len(counts) > KEPT_COUNTS:
                 yield _table(counts)
                 counts = {}
         yield _table(counts)
 
-    def _table(counts: dict[str, list[int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["w", "clean", "bad"])
+    def _table(counts: dict[int, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["w", "clean", "bad"])
 
-    summed = _urls(pages, url, url).mapInArrow(run, "w string, clean long, bad long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    rows = summed.where("w = ''").collect()
-    kept = summed.where("w <> ''").orderBy(F.desc(F.col("clean") + F.col("bad")), "w").limit(most).collect()
-    return Bayes({r.w: (r.clean, r.bad) for r in kept}, (rows[0].clean, rows[0].bad) if rows else (0, 0))
+    summed = _urls(pages, url, url).mapInArrow(run, "w long, clean long, bad long").groupBy("w").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).toArrow()
+    counts = dict(zip(summed.column("w").to_pylist(), zip(summed.column("clean").to_pylist(), summed.column("bad").to_pylist(), strict=True), strict=True))
+    rows = counts.pop(-1, (0, 0))
+    return Bayes(counts, rows)
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -197,7 +221,7 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ru
                     memo.clear()
                 if host not in memo:
                     memo[host] = host_words(segment, host)
-                odds = bayes.log_odds(memo[host] + path_words(path)) if host else min(bayes.prior, 0.0)
+                odds = bayes.log_odds([token(w) for w in memo[host] + path_words(path)]) if host else min(bayes.prior, 0.0)
                 rule, verdict = table.match(host, path) or (None, "block" if odds > 0 else "allow")
                 out.append((host, path, rule, verdict, odds, memo[host]))
             columns = list(zip(*out, strict=True)) or [()] * 6

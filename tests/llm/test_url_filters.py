@@ -65,6 +65,17 @@ def test_a_joined_host_with_many_urls_is_split(spark):
     assert {h for h, r in got.items() if r.verdict == "block"} == {h for h in got if "pills" in h}
 
 
+def test_every_word_and_token_counts_whole(spark):
+    """More words than 50,000, words over 24 and tokens over 64 characters."""
+    tail, joined = "x" * 70 + "tail", "cheap" + "averyveryveryverylongbrandname"
+    urls = [f"http://h{chr(97 + i % 26)}{i}.example.org/fr/{tail}" for i in range(50_500)] + [f"http://{h}.example.org/fr/1" for h in ("averyveryveryverylongbrandname", "cheap", joined)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counts, own = uf.unigrams(df)
+    assert len(own) == 50_505 and uf.Segmenter(counts, own).split(joined) == ["cheap", "averyveryveryverylongbrandname"]
+    bayes = uf.train(df, uf.Segmenter(counts, own))
+    assert uf.token("/" + tail) in bayes.weight and len(bayes.weight) > 49_000
+
+
 def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = {r.page_id: r.url for r in pages.collect()}
