@@ -98,8 +98,8 @@ class Index:
         return np.concatenate(places), np.concatenate(found)
 
 
-def _found(index: Index, texts: list[bytes]) -> tuple[list[np.ndarray], list[set[str]]]:
-    """For each text, which of its words are hit, and the items that have a window in it."""
+def _found(index: Index, texts: list[bytes]) -> tuple[list[np.ndarray], list[set[str]], np.ndarray]:
+    """For each text, which of its words are hit, the items that have a window in it, and whether a window of WINDOW words is one of those."""
     get = index.vocabulary.get
     words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
@@ -114,7 +114,9 @@ def _found(index: Index, texts: list[bytes]) -> tuple[list[np.ndarray], list[set
     items: list[set[str]] = [set() for _ in texts]
     for d, w in set(zip(np.searchsorted(ends, place, "right").tolist(), window.tolist(), strict=True)):
         items[d] |= index.holders[w]
-    return [hit[s:e] for s, e in zip(starts, ends, strict=True)], items
+    full = np.zeros(len(texts), bool)
+    full[np.searchsorted(ends, place[index.length[window] == WINDOW], "right")] = True
+    return [hit[s:e] for s, e in zip(starts, ends, strict=True)], items, full
 
 
 def _pass(held, first: bool, last: bool):
@@ -123,7 +125,7 @@ def _pass(held, first: bool, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 1):
-                marks, items = _found(held.value, texts)
+                marks, items, _ = _found(held.value, texts)
                 if not first:
                     marks = [m | np.unpackbits(np.frombuffer(b, np.uint8), count=len(m)).astype(bool) for m, b in zip(marks, part.column(2).to_pylist(), strict=True)]
                     items = [s | set(b) for s, b in zip(items, part.column(3).to_pylist(), strict=True)]
@@ -181,18 +183,24 @@ def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of which fewer than 1 in SHARE words are hit, with all their columns. Rows are filtered where they are searched; nothing is shuffled. All blocks of the benchmark are searched for one slice of texts after another."""
+    """The rows, with all their columns, in which no window of WINDOW words occurs and of which fewer than 1 in SHARE words are hit.
+
+    One passage is enough, however long the text around it: a long document that holds a benchmark item word by word is as contaminated as a short one. The share tells only for items that are shorter than a window, whose few words may stand in any text by chance. Null and empty texts stay; repeated rows are judged each; empty tables give all rows of docs.
+    Rows are filtered where they are searched; nothing is shuffled. All blocks of the benchmark are searched for one slice of texts after another.
+    """
     held = _blocks(benchmark, item_id, item_text, block_bytes)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, at):
-                hit = None
+                hit, whole = None, np.zeros(len(texts), bool)
                 for index in held:
-                    marks, _ = _found(index.value, texts)
+                    marks, _, full = _found(index.value, texts)
                     hit = marks if hit is None else [a | b for a, b in zip(hit, marks, strict=True)]
-                yield part.filter(pa.array([int(m.sum()) == 0 or int(m.sum()) * SHARE < len(m) for m in hit], pa.bool_()))
+                    whole |= full
+                n = np.array([m.sum() for m in hit], np.int64)
+                yield part.filter(pa.array(~whole & ((n == 0) | (n * SHARE < np.array([len(m) for m in hit], np.int64)))))
 
     return docs.mapInArrow(run, docs.schema)
 

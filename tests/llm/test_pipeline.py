@@ -10,7 +10,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 from stratalog.llm import toxicity  # noqa: E402
 from stratalog.llm.queries import tokenizer_path  # noqa: E402
-from test_decontaminate import brute as contaminated  # noqa: E402
+from test_decontaminate import words  # noqa: E402
 from test_line_dedup import brute as line_counts  # noqa: E402
 from test_simhash import brute as near  # noqa: E402
 
@@ -50,10 +50,23 @@ def test_one_of_each_group_stays(stages):
     assert {r.doc_id for r in stages[3][2]} == {i for i, (_, c) in want.items() if i == c}
 
 
+def has_passage(text, windows):
+    own = words(text)
+    return any(tuple(own[i : i + 13]) in windows for i in range(len(own) - 12))
+
+
 def test_contaminated_go(spark, sf_dir, stages):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    want = contaminated([(r.doc_id, r.text) for r in stages[3][2]], items)
-    assert {r.doc_id for r in stages[4][2]} == {i for i, w in want.items() if not w[4]}
+    windows = {tuple(w[i : i + 13]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if (w := words(r.text)) for i in range(len(w) - 12)}
+    assert {r.doc_id for r in stages[4][2]} == {r.doc_id for r in stages[3][2] if not has_passage(r.text, windows)}
+
+
+def test_a_long_document_with_one_passage_goes(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    filler = " ".join(f"w{i}" for i in range(20_000))
+    passage = " ".join(words(item)[:13])
+    rows = [(1, f"{filler}\n{item}\n{filler}"), (2, filler), (3, f"{filler} {passage.upper()}, {filler}"), (4, " ".join(words(item)[:12]) + " " + filler), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, docs, sf_dir).collect()) == [2, 4, 5, 6]
 
 
 def test_packed_ids(stages):
