@@ -47,24 +47,39 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start), [x or b"" for x in texts.slice(start).to_pylist()]
 
 
-def sample(docs: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
-    """(text): at most `rows` rows with a text, those with the least hashes of id and text.
+def least(keys: DataFrame, wanted: int) -> int | None:
+    """The largest of the `wanted` least distinct values of the column h, hashes as longs; all of them are under it if there are fewer, and None stands for no value. Nulls don't count.
 
-    The hashes alone are sorted; texts are taken in a second pass under the largest of them, so that no shuffle carries texts.
+    Only hashes under a share of their range reach the driver, a little over `wanted` of them at every size of the table. The share follows from the number of rows, which a table in files knows without being read; it grows where nulls or repeated rows leave too few.
     """
-    own = docs.select(F.xxhash64(F.lit("sample"), doc_id, text).alias("h"), F.col(text).alias("text")).where("text IS NOT NULL")
-    top = own.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    return own.where(F.lit(False) if top is None else F.col("h") <= top).select("text").limit(rows)
+    rows = keys.count()
+    share = min(1.0, (1.2 * wanted + 20) / max(1, rows))
+    while True:
+        top = min(-(1 << 63) + int(share * (1 << 64)), (1 << 63) - 1)
+        found = sorted(r.h for r in keys.where(F.col("h") <= F.lit(top)).select("h").distinct().collect())
+        if len(found) >= wanted or share >= 1:
+            return found[:wanted][-1] if found and wanted else None
+        share = min(1.0, 4 * share)
+
+
+def sample(docs: DataFrame, doc_id: str, text: str, rows: int) -> DataFrame:
+    """(h, text): at most `rows` different rows with a text, those with the least hashes of id and text. A row that repeats is drawn once."""
+    own = docs.select(F.when(F.col(text).isNotNull(), F.xxhash64(F.lit("sample"), doc_id, text)).alias("h"), F.col(text).alias("text"))
+    top = least(own.select("h"), rows)
+    return own.where(F.lit(False) if top is None else F.col("h") <= top).groupBy("h").agg(F.min("text").alias("text"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the checkpoint folder that the session names; its lineage ends there.
 
-    A folder is chosen here only where the session names none, as in tests on one machine.
+    A folder is chosen here only where the session names none and runs on one machine, as in tests.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
