@@ -79,8 +79,8 @@ LABELLERS = (
 )
 
 
-def votes(text: bytes) -> list[int]:
-    m = measures(text)
+def votes(m: dict[str, float]) -> list[int]:
+    """The labellers' votes on a text with these measures."""
     return [f(m) for _, f in LABELLERS]
 
 
@@ -129,25 +129,25 @@ def fit_labels(v: np.ndarray, count: np.ndarray, rounds: int = ROUNDS) -> LabelM
     return model
 
 
-def features(text: bytes) -> np.ndarray:
-    """Buckets of a text: its distinct words' shapes and ends, and its measures in steps."""
-    found: set[bytes] = set()
-    shape = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if b > 0x60 and chr(b).isalpha() or b > 0x7F else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
-    for w in set(text.split()):
-        found.add(b"s" + w.translate(shape)[-6:])
-        found.add(b"e" + w[-4:])
-    for name, x in measures(text).items():
+#: Letters, digits and others of a word, each kind alike.
+_SHAPE = bytes(0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b > 0x7F else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
+
+
+def features(text: bytes, m: dict[str, float]) -> np.ndarray:
+    """Buckets of a text with measures m: its distinct words' shapes and ends, and its measures in steps."""
+    words = set(text.split())
+    found = {b"s" + s for s in {w.translate(_SHAPE)[-6:] for w in words}} | {b"e" + e for e in {w[-4:] for w in words}}
+    for name, x in m.items():
         step = min(40, int(np.log2(1 + x) * 3)) if name in ("n", "length") else int(x * 20)
         found.add(f"m{name}{step}".encode())
-    return np.array([zlib.crc32(f) % BUCKETS for f in found], np.int64)
+    return np.unique(np.array([zlib.crc32(f) % BUCKETS for f in found], np.int64))
 
 
-def fit_scorer(texts: list[bytes], soft: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of a logistic scorer on soft labels, by full-batch steps over length-normalised features."""
+def fit_scorer(own: list[np.ndarray], soft: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of a logistic scorer of texts' buckets on soft labels, by full-batch steps over length-normalised features."""
     w, b = np.zeros(BUCKETS), 0.0
-    if not texts:
+    if not own:
         return w, b
-    own = [features(t) for t in texts]
     n = np.array([len(x) for x in own])
     row, col, val = np.repeat(np.arange(len(own)), n), np.concatenate(own), np.repeat(1 / np.sqrt(n), n)
     m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -170,7 +170,7 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pattern(votes(t)) for t in texts], pa.int32())], names=["id", "pattern"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pattern(votes(measures(t))) for t in texts], pa.int32())], names=["id", "pattern"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, pattern int")
 
@@ -178,29 +178,46 @@ def label(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_FITTED) -> tuple[LabelModel, np.ndarray, float]:
     """The label model, from the votes on all rows, and the scorer, from at most `most` rows drawn by a hash.
 
-    What reaches the driver is one count per vote pattern, of which there are at most 3 ** labellers, and the drawn texts.
+    What reaches the driver is one count per vote pattern, of which there are at most 3 ** labellers, and the drawn rows' patterns and buckets, which are made where the rows are.
     """
-    counts = label(docs, doc_id, text).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, 1):
+                found = [measures(t) for t in texts]
+                own = [features(t, m).astype(np.int32) for t, m in zip(texts, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pattern(votes(m)) for m in found], pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["h", "pattern", "buckets"])
+
+    counts = label(docs, doc_id, text).groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     model = fit_labels(np.array([unpack(r.pattern) for r in counts], np.int64).reshape(-1, len(LABELLERS)), np.array([r.n for r in counts], float))
-    texts = [r.text.encode() for r in sample(docs, doc_id, text, most).toLocalIterator()]
-    soft = model.posterior(np.array([votes(t) for t in texts], np.int64).reshape(-1, len(LABELLERS)))
-    return model, *fit_scorer(texts, soft)
+    drawn = sample(docs, doc_id, text, most).mapInArrow(run, "h long, pattern int, buckets array<int>").toArrow().sort_by("h")
+    soft = model.posterior(np.array([unpack(p) for p in drawn.column("pattern").to_pylist()], np.int64).reshape(-1, len(LABELLERS)))
+    return model, *fit_scorer([np.array(x, np.int64) for x in drawn.column("buckets").to_pylist()], soft)
+
+
+def margin(w: np.ndarray, b: float, buckets: np.ndarray) -> float:
+    """What the scorer's logistic function takes: the mean, by the root of their number, of a text's weights."""
+    return float(b + w[buckets].sum() / np.sqrt(max(1, len(buckets))))
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, pattern, posterior, score) of every row: votes, the label model's chance of good and the scorer's. Null reads as empty; an empty table gives an empty one; rows that repeat are scored each."""
+def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST_FITTED) -> DataFrame:
+    """(id, pattern, posterior, score) of every row: votes, the label model's chance of good and the scorer's.
+
+    Null reads as empty; a text of any length is read whole, and at most one long text is held besides; rows that repeat are scored each, and vote each; other columns, of whatever names, are left out; an empty table gives an empty one. Measures are taken once for a text's votes and features.
+    """
     context = docs.sparkSession.sparkContext
-    held = context.broadcast(train(docs, doc_id, text))
+    held = context.broadcast(train(docs, doc_id, text, most))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w, b = held.value
         for batch in batches:
             for part, texts in slices(batch, 1):
-                v = np.array([votes(t) for t in texts], np.int64).reshape(-1, len(LABELLERS))
-                margin = [b + w[f].sum() / np.sqrt(max(1, len(f))) for f in map(features, texts)]
+                found = [measures(t) for t in texts]
+                v = np.array([votes(m) for m in found], np.int64).reshape(-1, len(LABELLERS))
+                margins = np.array([margin(w, b, features(t, m)) for t, m in zip(texts, found, strict=True)], float)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([pattern(x) for x in v.tolist()], pa.int32()), pa.array(model.posterior(v)), pa.array(1 / (1 + np.exp(-np.clip(np.array(margin, float), -40, 40))))],
+                    [part.column(0), pa.array([pattern(x) for x in v.tolist()], pa.int32()), pa.array(model.posterior(v)), pa.array(1 / (1 + np.exp(-np.clip(margins, -40, 40))))],
                     names=["id", "pattern", "posterior", "score"],
                 )
 
@@ -208,5 +225,5 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def op4_quality_classifier(docs: DataFrame) -> DataFrame:
-    """doc_id, pattern, posterior, score, kept of every document."""
+    """doc_id, pattern, posterior, score, kept of every document; a score of THRESHOLD itself is kept."""
     return classify(docs).select(F.col("id").alias("doc_id"), "pattern", "posterior", "score", (F.col("score") >= THRESHOLD).alias("kept"))

@@ -1,11 +1,10 @@
 """Document quality rules in a cascade that stops at the first rule that rejects.
 
-Each rule reads statistics of a text, and some statistics are dear. A bounded sample of documents is judged by every rule, timed, which gives each rule's cost and the share that it rejects. The rules are then run in an order that a greedy choice makes: next is the rule that rejects most, per second, of what the rules before it let pass. The order changes what a verdict costs, never the verdict.
+Each rule reads statistics of a text, and some statistics are dear. A bounded sample of documents is judged by every rule, which gives each rule's cost and the share that it rejects. Cost is counted work (words and blocks of bytes that are looked at), not time, so that every run orders alike. The rules are then run in an order that a greedy choice makes: next is the rule that rejects most, for its cost, of what the rules before it let pass. Statistics that are returned anyway cost their rules nothing; all others are computed only for texts that no earlier rule has rejected. The order changes what a verdict costs, never the verdict.
 """
 
 from __future__ import annotations
 
-import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -28,39 +27,68 @@ _SYMBOLS = b"#*$%&|<>"
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Bytes that a built-in pass over a text reads for the work of looking at one word in Python.
+BLOCK = 32
+
+
 class Document:
-    """A text with the statistics that rules ask for, each computed once."""
+    """A text with the statistics that rules ask for, each computed once; `work` counts what that took."""
 
     def __init__(self, text: bytes):
         self.text = text
+        self.work = 0.0
         self._kept: dict[str, object] = {}
 
-    def _once(self, name: str, make: Callable[[], object]):
+    def once(self, name: str, work: float, make: Callable[[], object]):
         if name not in self._kept:
             self._kept[name] = make()
+            self.work += work
         return self._kept[name]
 
+    def give(self, name: str, value: object) -> None:
+        """A statistic that is known already, and costs nothing."""
+        self._kept[name] = value
+
     @property
     def words(self) -> list[bytes]:
-        return self._once("words", self.text.split)
+        return self.once("words", len(self.text) / BLOCK, self.text.split)
 
     @property
     def lines(self) -> list[bytes]:
         """The \n-split lines that have a word."""
-        return self._once("lines", lambda: [x for x in self.text.split(b"\n") if x.split()])
+        return self.once("lines", len(self.text) / BLOCK, lambda: [x for x in self.text.split(b"\n") if x.split()])
+
+    def n_words(self) -> int:
+        return len(self.words)
 
     def word_chars(self) -> int:
         """Code points in words."""
-        return self._once("word_chars", lambda: code_points(b"".join(self.words)))
+        return self.once("word_chars", len(self.text) / BLOCK, lambda: code_points(b"".join(self.words)))
 
     def n_symbols(self) -> int:
-        return self._once("n_symbols", lambda: len(self.text) - len(self.text.translate(None, _SYMBOLS)))
+        return self.once("n_symbols", len(self.text) / BLOCK, lambda: len(self.text) - len(self.text.translate(None, _SYMBOLS)))
 
     def n_dup_lines(self) -> int:
-        return self._once("n_dup_lines", lambda: len(self.lines) - len(set(self.lines)))
+        return self.once("n_dup_lines", len(self.lines), lambda: len(self.lines) - len(set(self.lines)))
 
     def n_repeat_words(self) -> int:
-        return self._once("n_repeat_words", lambda: int(repeated([self.words])[0]))
+        return self.once("n_repeat_words", WINDOW * len(self.words), lambda: int(repeated([self.words])[0]))
+
+    def n_shouting(self) -> int:
+        return self.once("n_shouting", len(self.words), lambda: sum(w.isupper() and len(w) > 1 for w in self.words))
+
+    def n_bare(self) -> int:
+        return self.once("n_bare", len(self.words), lambda: sum(not w.strip(_PUNCTUATION) for w in self.words))
+
+    def n_again(self) -> int:
+        return self.once("n_again", len(self.words), lambda: sum(map(bytes.__eq__, self.words, self.words[1:])))
+
+    def counts(self) -> Counter:
+        return self.once("counts", len(self.words), lambda: Counter(self.words))
+
+
+#: The statistics that can be asked for along with verdicts.
+BASE = {"n_words": Document.n_words, "word_chars": Document.word_chars, "n_symbols": Document.n_symbols, "n_dup_lines": Document.n_dup_lines, "n_repeat_words": Document.n_repeat_words}
 
 
 def code_points(text: bytes) -> int:
@@ -108,11 +136,11 @@ RULES = (
     Rule("few_words", lambda d: len(d.words) < MIN_WORDS),
     Rule("word_length", lambda d: not 2 * len(d.words) <= d.word_chars() <= 14 * len(d.words)),
     Rule("symbols", lambda d: _share(d.n_symbols(), len(d.words), 0.3)),
-    Rule("shouting", lambda d: _share(sum(w.isupper() and len(w) > 1 for w in d.words), len(d.words), 0.6)),
-    Rule("bare_words", lambda d: _share(sum(not w.strip(_PUNCTUATION) for w in d.words), len(d.words), 0.3)),
-    Rule("one_word", lambda d: len(d.words) >= MIN_WORDS and _share(max(Counter(d.words).values()), len(d.words), 0.35)),
-    Rule("stutter", lambda d: _share(sum(map(bytes.__eq__, d.words, d.words[1:])), len(d.words), 0.3)),
-    Rule("distinct_words", lambda d: len(d.words) >= 50 and _share(len(d.words) - len(set(d.words)), len(d.words), 0.9)),
+    Rule("shouting", lambda d: _share(d.n_shouting(), len(d.words), 0.6)),
+    Rule("bare_words", lambda d: _share(d.n_bare(), len(d.words), 0.3)),
+    Rule("one_word", lambda d: len(d.words) >= MIN_WORDS and _share(max(d.counts().values()), len(d.words), 0.35)),
+    Rule("stutter", lambda d: _share(d.n_again(), len(d.words), 0.3)),
+    Rule("distinct_words", lambda d: len(d.words) >= 50 and _share(len(d.words) - len(d.counts()), len(d.words), 0.9)),
     Rule("repeated_lines", lambda d: _share(d.n_dup_lines(), len(d.lines), 0.5)),
     Rule("repeated_windows", lambda d: _share(d.n_repeat_words(), len(d.words), MOST_REPEATED / 100)),
 )
@@ -123,21 +151,28 @@ def verdicts(text: bytes, rules: tuple[Rule, ...] = RULES) -> list[bool]:
     return [r.rejects(Document(text)) for r in rules]
 
 
-def order(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> list[int]:
-    """The places of the rules in the order to run them; for an empty sample as they are."""
-    if not sample:
-        return list(range(len(rules)))
-    cost = np.zeros(len(rules))
-    rejected = np.zeros((len(sample), len(rules)), bool)
-    for i, text in enumerate(sample):
-        for k, rule in enumerate(rules):
-            began = time.perf_counter()
-            rejected[i, k] = rule.rejects(Document(text))
-            cost[k] += time.perf_counter() - began
+def profile(text: bytes, rules: tuple[Rule, ...] = RULES, given: tuple[str, ...] = ()) -> tuple[list[float], list[bool]]:
+    """(work, verdict) of each rule by itself, with the given statistics known."""
+    work, rejects = [], []
+    for rule in rules:
+        d = Document(text)
+        for name in given:
+            BASE[name](d)
+        before = d.work
+        rejects.append(bool(rule.rejects(d)))
+        work.append(d.work - before)
+    return work, rejects
+
+
+def order(work: np.ndarray, rejected: np.ndarray) -> list[int]:
+    """The places of the rules in the order to run them, from (document, rule) tables of a sample; for an empty sample as they are. Ties go to the earlier rule."""
+    if not len(work):
+        return list(range(work.shape[1]))
+    cost = work.sum(0)
     out: list[int] = []
-    alive = np.ones(len(sample), bool)
-    while len(out) < len(rules):
-        rest = [k for k in range(len(rules)) if k not in out]
+    alive = np.ones(len(work), bool)
+    while len(out) < len(cost):
+        rest = [k for k in range(len(cost)) if k not in out]
         best = max(rest, key=lambda k: ((rejected[alive, k].sum() + 0.01) / max(cost[k], 1e-9), -k))
         out.append(best)
         alive &= ~rejected[:, best]
@@ -149,31 +184,43 @@ def first_rejection(document: Document, ordered: list[int], rules: tuple[Rule, .
     return next((k for k in ordered if rules[k].rejects(document)), None)
 
 
+def estimate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE, given: tuple[str, ...] = ()) -> list[int]:
+    """The order of RULES by their work and rejections on at most `rows` documents, which are judged where they are; one row of figures for each reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, 1):
+                found = [profile(t, RULES, given) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.list_(pa.float64())), pa.array([r for _, r in found], pa.list_(pa.bool_()))], names=["work", "rejected"])
+
+    found = draw(docs, doc_id, text, rows).mapInArrow(run, "work array<double>, rejected array<boolean>").collect()
+    return order(np.array([r.work for r in found]).reshape(-1, len(RULES)).round(6), np.array([r.rejected for r in found], bool).reshape(-1, len(RULES)))
+
+
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, statistics: bool = False) -> DataFrame:
     """(id, rejected_by), and with `statistics` (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) for every row.
 
-    rejected_by is the name of the rule that stopped the cascade, null for texts that are kept. Which of several rules that would reject is named depends on the order, whether one is does not. Null reads as empty; empty texts fall to few_words. Rows that repeat are judged each; an empty table gives an empty one. The sample, `sample` rows by a hash, only orders the rules. There is no shuffle of texts.
+    rejected_by is the name of the rule that stopped the cascade, null for texts that are kept. Which of several rules that would reject is named depends on the order, whether one is does not. Null reads as empty; empty texts fall to few_words. Rows that repeat are judged each; other columns, of whatever names, are left out; an empty table gives an empty one. The sample, `sample` rows by a hash, only orders the rules. There is no shuffle of texts but the sample's.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    ordered = order([r.text.encode() for r in draw(docs, doc_id, text, sample).collect()])
+    counts = tuple(BASE) if statistics else ()
+    ordered = estimate(docs, doc_id, text, sample, counts)
     kind = rows.schema["id"].dataType.simpleString()
     names = [r.name for r in RULES]
+    fields = ["id", *counts, "rejected_by"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, 1):
                 documents = [Document(t) for t in texts]
-                columns = [part.column(0)]
                 if statistics:
                     for d, n in zip(documents, repeated([d.words for d in documents]).tolist(), strict=True):
-                        d._kept["n_repeat_words"] = n
-                    columns += [pa.array([f(d) for d in documents], pa.int64()) for f in (lambda d: len(d.words), Document.word_chars, Document.n_symbols, Document.n_dup_lines, Document.n_repeat_words)]
+                        d.give("n_repeat_words", n)
+                columns = [pa.array([BASE[c](d) for d in documents], pa.int64()) for c in counts]
                 stopped = [first_rejection(d, ordered) for d in documents]
                 columns.append(pa.array([None if k is None else names[k] for k in stopped], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=fields)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=fields)
 
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if statistics else []
-    fields = ["id", *counts, "rejected_by"]
     return rows.mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} long" for c in counts), "rejected_by string"]))
 
 
