@@ -15,6 +15,11 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def named(column: str):
+    """A column by its whole name, also one with a dot."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def _keys(text):
     """Array of (position, h1, h2) of the lines whose key is long enough to count; the two hashes make 128 bits."""
     keys = F.transform(
@@ -24,18 +29,24 @@ def _keys(text):
     return F.filter(keys, lambda x: F.char_length(x["key"]) >= MIN_CHARS)
 
 
+def holders(lines: DataFrame, min_documents: int) -> DataFrame:
+    """(__h1, __h2, __keeper) of hashes found in at least min_documents different documents, from rows (__id, __h1, __h2) that may repeat. Both sums are begun before their shuffles, the first of which deals a hot line's rows by document."""
+    once = lines.groupBy("__h1", "__h2", "__id").agg(F.lit(1).alias("__one"))
+    return once.groupBy("__h1", "__h2").agg(F.sum("__one").alias("__n"), F.max("__id").alias("__keeper")).where(F.col("__n") >= min_documents).drop("__n")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     r"""All columns of docs, with `text` without its shared lines, and n_lines_before and n_lines_dropped.
 
-    A text is split at \n. A line's key is the line without spaces, tabs and other ASCII blanks at its ends and with A-Z lower-cased. A key of at least 40 code points that is found in at least min_documents documents loses all its lines, but for those in the document with the largest doc_id.
-    Each document's distinct keys are exploded and hashed, and the documents of a hash are counted with map-side sums. Only ids, positions and hashes are joined with the hashes over the threshold (a join that adaptive execution may split); the text meets the list of its dropped positions in one more join, and is put together from the positions that stay.
+    A text is split at \n. A line's key is the line without spaces, tabs and other ASCII blanks at its ends and with A-Z lower-cased. A key of at least 40 code points that is found in at least min_documents documents, counted by doc_id, loses all its lines, but for those in the document with the largest doc_id.
+    Each document's distinct keys are exploded and hashed. A hash's rows of one document are made one before documents are counted, with map-side sums in both steps. Only ids, positions and hashes are joined with the hashes over the threshold (a join that adaptive execution may split); the text meets the list of its dropped positions in one more join, and is put together from the positions that stay.
 
-    Null text is an empty one: one empty line. An empty table gives an empty one. Equal rows count as documents of their own, and all keep a line that the largest id keeps; a null doc_id is smaller than any other and also is a document. Columns named n_lines_before or n_lines_dropped are replaced.
+    Null text is an empty one: one empty line. An empty table gives an empty one. Rows with one doc_id are one document when documents are counted, and all of them keep a line that their id keeps; a null doc_id is smaller than any other and is one document, too. Of ties there are none: the keeper is the largest id. Columns named n_lines_before or n_lines_dropped are replaced; all others, of whatever names, stay.
     """
     base = docs.select(
-        F.col(doc_id).alias("__id"),
-        F.xxhash64(text).alias("__row"),
-        F.explode(_keys(F.col(text))).alias("__k"),
+        named(doc_id).alias("__id"),
+        F.xxhash64(named(text)).alias("__row"),
+        F.explode(_keys(named(text))).alias("__k"),
     ).select(
         "__id",
         "__row",
@@ -44,15 +55,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         F.xxhash64(F.lit("second"), F.col("__k.key")).alias("__h2"),
     )
     distinct = docs.select(
-        F.col(doc_id).alias("__id"),
-        F.explode(F.array_distinct(F.transform(_keys(F.col(text)), lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("second"), x["key"]).alias("h2"))))).alias("__k"),
-    )
-    shared = (
-        distinct.groupBy(F.col("__k.h1").alias("__h1"), F.col("__k.h2").alias("__h2"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.max("__id").alias("__keeper"))
-        .where(F.col("__n") >= min_documents)
-        .drop("__n")
-    )
+        named(doc_id).alias("__id"),
+        F.explode(F.array_distinct(F.transform(_keys(named(text)), lambda x: F.struct(F.xxhash64(x["key"]).alias("h1"), F.xxhash64(F.lit("second"), x["key"]).alias("h2"))))).alias("__k"),
+    ).select("__id", F.col("__k.h1").alias("__h1"), F.col("__k.h2").alias("__h2"))
+    shared = holders(distinct, min_documents)
     # Joined by a mix of the hashes, so that both sides are dealt anew and a line that very many documents share can be split over tasks; the sums' own partitioning would bind it to one.
     mixed = lambda df: df.withColumn("__mix", F.col("__h1").bitwiseXOR(F.col("__h2")))
     dropped = (
@@ -65,7 +71,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     )
     rest = [c for c in docs.columns if c not in ("n_lines_before", "n_lines_dropped")]
     # The document travels as one struct, so that its columns may have any names.
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__doc"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__row"), _lines(F.col(text)).alias("__lines"))
+    whole = docs.select(F.struct(*[named(c) for c in rest]).alias("__doc"), named(doc_id).alias("__id"), F.xxhash64(named(text)).alias("__row"), _lines(named(text)).alias("__lines"))
     joined = whole.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     own = lambda c: F.col("__doc").getField(c)

@@ -81,3 +81,35 @@ def test_repeated_rows_and_empty_table(spark):
 def test_plan_is_native(spark, sf_dir):
     plan = line_dedup.op5_line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Four rows of one id and one of another are two documents, as in the SQL; five ids in ten rows are five."""
+    line = "y" * 50
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, r.n_lines_dropped) for r in line_dedup.dedup_lines(df(rows)).collect())
+    assert {n for _, _, n in dropped([(1, line)] * 4 + [(2, line)])} == {0}
+    assert {n for _, _, n in dropped([(1, line), (1, line + "\nz"), (1, "q\n" + line), (2, line), (3, line), (4, line)])} == {0}
+    assert dropped([(i, line) for i in (1, 2, 3, 4, None)] * 2) == sorted([(False, i, int(i < 4)) for i in (1, 2, 3, 4)] * 2 + [(True, 0, 1)] * 2)
+
+
+def test_repeated_rows_against_sql(spark, tmp_path):
+    """The SQL over the ids that have one row each agrees when other ids repeat."""
+    import duckdb
+
+    line = "A line that stands in many documents, %d and counting on"
+    rows = [(i, "\n".join([line % (i % 3), "own %d" % i])) for i in range(12)] + [(50, line % 7)] * 4 + [(51, line % 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(line_dedup.ORACLE_SQL).fetchall() if r[0] != 50}
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op5_line_dedup(df).collect()}
+    assert {i: r for i, r in got.items() if i != 50} == want and got[51][1] == 0 and got[50][1] == 0
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "x" * 44, i) for i in range(6)], ["the.id", "the.text", "__k"]).withColumnRenamed("__k", "__drop")
+    got = line_dedup.dedup_lines(df, "the.id", "the.text")
+    assert got.columns == ["the.id", "the.text", "__drop", "n_lines_before", "n_lines_dropped"]
+    assert sorted(r.n_lines_dropped for r in got.collect()) == [0, 1, 1, 1, 1, 1]
