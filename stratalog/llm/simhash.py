@@ -15,8 +15,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, slices
 from .graph import MIX, components
@@ -69,15 +70,17 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of each document as a long. Null and empty texts have 0."""
+def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, fp), and the columns that are asked for besides: the fingerprint of each document as a long. Null and empty texts have 0."""
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("id"), *also)
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts).view(np.int64))], names=["id", "fp"])
+            for part, texts in slices(batch, 0):
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fingerprints(texts).view(np.int64))], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def _masks(bits: list[int]) -> list[int]:
@@ -225,25 +228,50 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     return every.mapInArrow(_forest, "u long, v long")
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(fp, root): for each fingerprint the least one that links reach, from rows with an fp."""
+    distinct = prints.select("fp").distinct()
+    reach = components(link_fingerprints(distinct.select("fp", F.col("fp").alias("doc"))), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return distinct.join(reach, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component): each document's fingerprint and the smallest doc_id of its group, which links of at most LIMIT bits between fingerprints join.
 
-    Documents without words, null texts among them, have fingerprint 0 and link like any other. Repeated rows each have a row. A document whose doc_id is null takes part under the smallest id of its fingerprint, and has a null component if there is none. Whole texts count, of whatever length; an empty table gives an empty one.
+    Ids may be of any type that has an order. Documents without words, null texts among them, have fingerprint 0 and link like any other. Repeated rows each have a row, and rows that share an id but not a text belong to their texts' groups. A document whose doc_id is null takes part by its fingerprint, and has a null component if no document of its group has an id. Whole texts count, of whatever length; other columns, of whatever names, are left out; an empty table gives an empty one.
     """
     prints = checkpointed(with_fingerprints(docs, doc_id, text))
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("doc"))
-    # The fingerprint's first document stands for it; ids that stand for two fingerprints join them, as one document does.
-    edges = link_fingerprints(distinct.where("doc is not null"))
-    reach = components(edges, "u", "v").withColumnsRenamed({"node": "doc"})
-    group = distinct.join(reach, "doc", "left").select("fp", F.coalesce("component", "doc").alias("component"))
+    # A fingerprint's ids are summed up before any join, so that copies cost one row.
+    first = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    rooted = checkpointed(_roots(prints).join(first, "fp"))
+    # Joined by a mix of the root, so that a large group's fingerprints can be split over tasks.
+    mixed = F.col("root").bitwiseXOR(F.lit(MIX)).alias("mix")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component")).select(mixed, "component")
+    group = rooted.select("fp", mixed).join(smallest, "mix").select("fp", "component")
     return prints.join(group, "fp", "left").select("id", "fp", "component")
 
 
+def _row_hashes(docs: DataFrame) -> tuple[Column, Column]:
+    """(h1, h2): 128 bits of all columns of a row, with nulls told apart."""
+    own = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields]
+    held = [x for c, f in zip(own, docs.schema.fields, strict=True) for x in (c.isNull(), F.map_entries(c) if isinstance(f.dataType, T.MapType) else c)]
+    return F.xxhash64(*held).alias("h1"), F.xxhash64(F.lit("second"), *held).alias("h2")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are the first of their group, with all their columns. All rows of a repeated id stay if one of them is first; documents without an id stay."""
-    first = near_duplicates(docs, doc_id, text).where("id = component").select(F.col("id").alias("__first")).distinct()
-    first = first.unionByName(docs.sparkSession.createDataFrame([(None,)], "__first long"))
-    return docs.join(first, docs[doc_id].cast("long").eqNullSafe(first["__first"]), "left_semi")
+    """One row of each group, with all its columns: the one with the smallest id (a null id comes last); of several of that id, the one with the least hash of all columns; of rows that are equal in all columns, one.
+
+    Groups are those of near_duplicates: documents without a word, null texts among them, are one group. Long texts count whole; columns may have any names; an empty table gives an empty one.
+    Rows that are equal are made one before the shuffle, so that no number of copies of a row meets in one task.
+    """
+    h = _row_hashes(docs)
+    prints = checkpointed(with_fingerprints(docs, doc_id, text, h))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h1", "h2")
+    # Copies are summed up by fingerprint first, then groups by root.
+    best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(_roots(prints), "fp").groupBy("root").agg(F.min("best").alias("best"))
+    first = best.select("best.h1", "best.h2")
+    whole = docs.select(*h, F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")).groupBy("h1", "h2").agg(F.first("doc").alias("doc"))
+    return whole.join(first, ["h1", "h2"], "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:

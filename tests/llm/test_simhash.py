@@ -143,8 +143,22 @@ def test_components(spark):
     assert graph.components(df.where("false"), "a", "b").count() == 0
 
 
-def test_keep_one_keeps_columns_and_rows(spark):
-    rows = [(2, "a b c d", "x", 1), (1, "a b c d", "y", 2), (3, "q r s", "z", 3), (3, "q r s", "z", 3), (None, "t u v w", "n", 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, component string, fp int")
-    assert sorted(r.component + str(r.fp) for r in simhash.keep_one(df).collect()) == ["n4", "y2", "z3", "z3"]
+def test_keep_one_keeps_columns_and_one_row_of_a_group(spark):
+    rows = [(2, "a b c d", "x", 1), (1, "a b c d", "y", 2), (3, "q r s", "z", 3), (3, "q r s", "z", 3), (3, "q r s", "w", None), (None, "t u v w", "n", 4), (None, "t u v w", "n", 4), (None, "a b c d", "o", 5), (7, None, "e", 6), (6, "", "f", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component string, h1 int")
+    got = sorted(r.component for r in simhash.keep_one(df).collect())
+    assert len(got) == 4 and {"y", "n", "f"} < set(got) and set(got) - {"y", "n", "f"} <= {"z", "w"}
     assert simhash.op8_simhash(df.where("false").select("doc_id", "text")).count() == 0
+    assert simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b-2", "a b c d"), ("a-1", "a b c d"), ("c", "q r s t"), (None, "q r s t"), (None, "lone x y z")]
+    got = {(r.doc_id, r.component_id) for r in simhash.op8_simhash(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("b-2", "a-1"), ("a-1", "a-1"), ("c", "c"), (None, "c"), (None, None)}
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b c d"), (1, "q r s t"), (2, "q r s t"), (0, "a b c d")]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.op8_simhash(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0), (1, 0), (1, 1), (2, 1)]
