@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import same_rows
 from stratalog.llm import decontaminate as dc
@@ -64,10 +65,24 @@ def test_against_brute_force(spark, seed):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-def test_blocks_of_a_large_benchmark(spark):
+def test_a_large_benchmark_is_joined(spark):
+    """Above the bound the same rows come from joins, also where the filter lets nearly everything pass."""
     docs, items = sample(3)
-    one = run(spark, docs, items, block_bytes=1 << 20)
-    assert run(spark, docs, items, block_bytes=200) == one
+    item = " ".join(f"w{i}" for i in range(20))
+    docs += [(80 + i, "x " * 50 + item + " y" * (i % 2) + " x" * 50) for i in range(9)] + [(90, item), (90, item)]
+    items += [(60, item), (61, item + " tail"), (60, "w3 w4 w5")]
+    one = run(spark, docs, items, broadcast_bytes=1 << 20)
+    for bits in (1 << 16, 1 << 20):
+        assert run(spark, docs, items, broadcast_bytes=0, filter_bits=bits) == one
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert dc.contamination(d, b.where("false"), broadcast_bytes=-1).where("n_hit > 0").count() == 0
+    assert dc.contamination(d.where("false"), b, broadcast_bytes=0).count() == 0
+
+
+def test_join_on_tables(spark, sf_dir):
+    d, b = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    by = lambda n: sorted(map(str, dc.contamination(d, b, broadcast_bytes=n, filter_bits=1 << 20).collect()))
+    assert by(0) == by(1 << 20)
 
 
 def test_text_that_runs_on_into_the_next_row(spark):
@@ -78,13 +93,20 @@ def test_text_that_runs_on_into_the_next_row(spark):
     assert [got[i][1] for i in (1, 2, 3)] == [0, 0, 13]
 
 
+def test_both_ways_drop_the_same(spark, sf_dir):
+    d, b = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc", F.lit(1)), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    b = b.unionByName(spark.createDataFrame([(900, "the and")], b.schema))
+    by = lambda n: sorted(r.doc_id for r in dc.drop_contaminated(d, b, broadcast_bytes=n, filter_bits=1 << 20).collect())
+    assert by(0) == by(1 << 20) and 0 < len(by(0)) < d.count()
+
+
 def test_empty_tables_and_dropping(spark):
     d = spark.createDataFrame([(1, "a b c", "k"), (2, " ".join(f"q{i}" for i in range(40)), "l"), (2, "a b c", "m"), (None, "zz", "n")], "doc_id long, text string, id string")
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert sorted(r.id for r in dc.drop_contaminated(d, b).collect()) == ["l", "n"]
     assert dc.drop_contaminated(d, b.where("false")).count() == 4
     more = b.unionByName(spark.createDataFrame([(i, f"zz{i} " * 20) for i in range(9)], b.schema))
-    assert sorted(r.id for r in dc.drop_contaminated(d, more, block_bytes=100).collect()) == ["l", "n"]
+    assert sorted(r.id for r in dc.drop_contaminated(d, more, broadcast_bytes=0, filter_bits=1 << 16).collect()) == ["l", "n"]
     assert dc.op10_decontaminate(d.where("false"), b).count() == 0
 
 
