@@ -74,20 +74,74 @@ def test_split_machine_takes_contractions():
     assert all(split("x" + c) == ["x", c] for c in CONTRACTIONS) and split("'v") == ["'", "v"] and split("'") == ["'"]
 
 
+def chunked(machine, text, chunk):
+    raw = text.encode()
+    m = machine.mark(raw + b"\n")
+    return m, machine.maps(m, np.array([[0, len(raw)]]), chunk)[0]
+
+
 def test_state_maps_compose_associatively(machine):
     rng = random.Random(5)
-    for _ in range(100):
-        a, b, c = (machine.map_of("".join(rng.choice(["ab", " ", "c'", "\n", "9."]) for _ in range(rng.randint(1, 4))).encode()) for _ in range(3))
-        assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
+    for k in range(40):
+        m, maps = chunked(machine, "".join(rng.choice(["ab", " ", "c", "\n", "9.", "don't", "éa", "中", "x" * 9]) for _ in range(rng.randint(20, 60))), rng.randint(1, 9))
+        for i in range(len(maps.head) - 2):
+            a, b, c = (maps.at(np.array([j])) for j in (i, i + 1, i + 2))
+            left, right = machine.compose(m, machine.compose(m, a, b), c), machine.compose(m, a, machine.compose(m, b, c))
+            # A state only counts where there is a cut before it.
+            assert all(x.tolist() == y.tolist() for n, x, y in zip(left._fields, left, right, strict=True) if n != "state" or left.synced[0])
+
+
+def test_prefix_scan_is_a_running_composition(machine, library):
+    text = " ".join(texts(6, 60, 12))
+    for chunk in (1, 7, 50, 256):
+        m, maps = chunked(machine, text, chunk)
+        done, so_far = machine.scan(m, maps), maps.at(np.array([0]))
+        for i in range(1, len(maps.head)):
+            so_far = machine.compose(m, so_far, maps.at(np.array([i])))
+            assert (done.count[i], done.state[i]) == (so_far.count[0], so_far.state[0])
+        counts = machine.prefix_counts(text.encode(), chunk)
+        assert counts[-1] == len(library.encode(text, add_special_tokens=False).ids) and counts == sorted(counts)
+
+
+def test_transitions_emit_what_merges_leave(machine):
+    """A path of the table, byte by byte, ends in a state that emits its pretoken's tokens."""
+    m = machine.mark(b"unbelievable ")
+    machine.learn(m, np.array([0]))
+    state = np.zeros(1, np.int64)
+    for b in b"unbelievable":
+        state = machine.go(state, np.array([b]))
+        assert state[0] > machine.DEAD
+    assert machine.emits[state[0]] == machine.bpe.spans(["unbelievable"])[1][0]
+    assert machine.go(state, np.array([0x01]))[0] == machine.DEAD
+
+
+def test_every_code_point(machine, library):
+    """Alone, and between letters, as the library counts it."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 50_000):
+        batch = [f"a{c}b {c}" for c in points[at : at + 50_000]]
+        want = [len(e.ids) for e in library.encode_batch(batch, add_special_tokens=False)]
+        got = machine.counts([t.encode() for t in batch])
+        assert [(t, g, w) for t, g, w in zip(batch, got, want, strict=True) if g != w] == []
+
+
+def test_a_full_table_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE", 300)
+    small = token_counts.Transducer(PATH, states=1024)
+    batch = [t for t in texts(8, 80, 60) if len(t) < 150] + ["".join(random.Random(i).choices("abcde fgh", k=900)) for i in range(9)]
+    want = [len(e.ids) for e in library.encode_batch(batch, add_special_tokens=False)]
+    assert small.counts([t.encode() for t in batch]) == want and small.n < 1024
 
 
-def test_prefix_scan_is_a_running_count(machine, library):
-    text = " ".join(texts(6, 60, 12)).replace("<|", "")
-    raw = text.encode()
-    counts = machine.prefix_counts(raw, 50)
-    assert machine.fold(machine.maps(raw, 50)) == machine.scan(machine.maps(raw, 50))[-1]
-    assert counts[-1] == len(library.encode(text, add_special_tokens=False).ids)
-    assert counts == sorted(counts) or len(counts) < 2 or min(np.diff(counts)) >= -3
+def test_long_symbols(machine, library, monkeypatch):
+    """Pretokens and spans around the bound of what has states, at every place of a chunk."""
+    monkeypatch.setattr(token_counts, "SPAN", 2000)
+    batch = [f"{'x' * a}{'ab' * (n // 2)}{'c' * (n % 2)}{tail}" for n in (255, 256, 257, 511, 700) for a in (0, 1) for tail in ("", ".", " end", "'s", " " + "y" * 300)]
+    batch += [" " * k + "é" * 200 + "." * 300 + "don't" * 70 + " q" for k in (0, 3, 255)] + ["中" * 900, "a1b2" * 900, "word " * 99 + "don't" * 600 + " word"]
+    want = [len(e.ids) for e in library.encode_batch(batch, add_special_tokens=False)]
+    for chunk in (256, 64, 100):
+        assert machine.counts([t.encode() for t in batch], chunk) == want
+        assert [machine.counts([t.encode()], chunk)[0] for t in batch] == want
 
 
 def test_long_texts(machine, library):
@@ -109,3 +163,13 @@ def test_query(spark, library):
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
     assert got == sorted((i is None, i or 0, len((t or "").encode()), n, n > 2048) for (i, t), n in zip(rows, want, strict=True))
     assert token_counts.op3_token_counts(df.where("false"), PATH).count() == 0
+
+
+def test_ids_of_code_points(library):
+    """Every character of the first blocks, and a 41st of the others."""
+    encoder = packing.Encoder(PATH)
+    points = [c for c in range(0x110000) if (c < 0x3000 or c % 41 == 0) and not 0xD800 <= c < 0xE000]
+    batch = [f"a{chr(c)}b {chr(c)}" for c in points]
+    want = [np.array(e.ids, encoder.kind).tobytes() for e in library.encode_batch(batch, add_special_tokens=False)]
+    got = encoder.encode([t.encode() for t in batch])
+    assert [t for t, g, w in zip(batch, got, want, strict=True) if g != w] == []
