@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import wal_number
 from .log import newest
-from .ordered import previous, running_sum
+from .ordered import CELL, previous, running_sum, with_buckets
 
 HEADER_BYTES = 20
 LOCAL_LEVELS = (3, 4)
@@ -20,9 +20,9 @@ def placed(entries: DataFrame, keys: list[str], order: str, length: str = "lengt
 
 
 def runs(entries: DataFrame, keys: list[str], order: str, breaks: Column, bound: str) -> DataFrame:
-    """Entries with run_no: a new run begins where `breaks` holds, an expression over `__previous`, the value of `bound` in the row before."""
-    flagged = previous(entries, keys, order, bound, "__previous").withColumn("__new", F.when(F.col("__previous").isNull() | breaks, 1).otherwise(0).cast("long"))
-    return running_sum(flagged, keys, order, "__new", "run_no").drop("__new", "__previous")
+    """Entries with run_no: a new run begins where `breaks` holds, an expression over `__previous`, the value of `bound` in the row before. Hot keys are divided once for both passes."""
+    flagged = previous(with_buckets(entries, keys, order), keys, order, bound, "__previous").withColumn("__new", F.when(F.col("__previous").isNull() | breaks, 1).otherwise(0).cast("long"))
+    return running_sum(flagged, keys, order, "__new", "run_no").drop("__new", "__previous", CELL)
 
 
 def live(entries: DataFrame, index: DataFrame) -> DataFrame:
