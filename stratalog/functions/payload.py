@@ -20,7 +20,17 @@ def fault(payload_hex: Column, size: int = 256) -> Column:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """Place, from 0, of the first character in which two strings differ; the shorter's length if it begins the other; null if they are equal."""
+    """Place, from 0, of the first character in which two strings differ; the shorter's length if it begins the other; null if they are equal.
+
+    The common beginning is found by halving: each step compares the next half of what is open as a whole, so that a payload is looked at as often as its length has binary digits.
+    """
     n = F.least(F.length(a), F.length(b))
-    at = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when(F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)), i - 1)), lambda x: x.isNotNull()))
-    return F.when(a != b, F.coalesce(at, n))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        size = F.floor((acc["high"] - acc["low"] + 1) / 2).cast("int")
+        same = F.substring(a, acc["low"] + 1, size) == F.substring(b, acc["low"] + 1, size)
+        return F.struct(F.when(same, acc["low"] + size).otherwise(acc["low"]).alias("low"), F.when(same, acc["high"]).otherwise(acc["low"] + size - 1).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), n.cast("int").alias("high"))
+    return F.when(a != b, F.aggregate(steps, start, halve, lambda acc: acc["low"]))
