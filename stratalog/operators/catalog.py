@@ -1,14 +1,20 @@
 """The catalog: versioned rows under compare-and-set, in memory as DataFrames and on storage as versions of a table.
 
-A change is a row (name, expected, ..). It is applied if `expected` is the current version, -1 for a row that must not exist. Versions on storage are folders made once each; there is one writer.
+A change is a row (name, expected, ..). It is applied if `expected` is the current version, -1 for a row that must not exist. On storage a version is claimed before it is written: a file for (row, version) is created, which fails if it is there, so that of several writers one succeeds. The claim holds the row; a version whose writer stopped between the two is completed by the next one that comes to it.
 """
 
 from __future__ import annotations
 
+import json
+import os
+from urllib.parse import quote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .log import newest
+from .ordered import following_min, running_sum
 
 
 class Conflict(Exception):
@@ -24,21 +30,51 @@ def current(versions: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame
     return newest(versions, list(keys), [F.col("version")]).where("NOT deleted")
 
 
-def cas_outcomes(changes: DataFrame) -> DataFrame:
-    """(name, seq, expected, applied, version) of changes in order of seq to rows that begin at version -1 with expected versions that count up from -1: a change is applied if as many changes with the expected versions before it were.
+#: Changes of one name that are looked at one after another in one task; longer histories are followed by joins.
+HISTORY = 100_000
+
+
+def _in_order(t: pa.Table) -> pa.Table:
+    """The outcomes of one name's changes, in one pass."""
+    t = t.sort_by("seq")
+    version, applied, versions = -1, [], []
+    for expected in t.column("expected").to_pylist():
+        applied.append(expected == version)
+        version += applied[-1]
+        versions.append(version)
+    return pa.table({"name": t.column("name"), "seq": t.column("seq"), "expected": t.column("expected"), "applied": pa.array(applied, pa.bool_()), "version": pa.array(versions, pa.int64())})
+
+
+def _followed(changes: DataFrame) -> DataFrame:
+    """The same without a task that holds a history: each change points to the first one after it that expects the next version; the applied ones are those that the first change of version -1 reaches, found by doubling the pointers."""
+    mark = lambda version, own: changes.select("name", version.alias("v"), (F.col("seq") * 2).alias("o"), own.alias("seq_to"), F.col("seq").alias("at"))
+    both = mark(F.col("expected"), F.col("seq")).unionByName(mark(F.col("expected") + 1, F.lit(None).cast("long")))
+    jump = following_min(both, ["name", "v"], "o", "seq_to", "to").where("seq_to IS NULL AND to IS NOT NULL").select("name", "at", "to")
+    reached = changes.where("expected = -1").groupBy("name").agg(F.min("seq").alias("at"))
+    while True:
+        jump, reached = jump.checkpoint(), reached.checkpoint()
+        further = reached.join(jump, ["name", "at"]).select("name", F.col("to").alias("at"))
+        if further.isEmpty():
+            break
+        reached = reached.unionByName(further)
+        jump = jump.alias("a").join(jump.alias("b"), (F.col("a.name") == F.col("b.name")) & (F.col("a.to") == F.col("b.at"))).select("a.name", "a.at", "b.to")
+    flagged = changes.join(reached.select("name", F.col("at").alias("seq"), F.lit(1).cast("long").alias("one")), ["name", "seq"], "left").na.fill(0, ["one"])
+    out = running_sum(flagged, ["name"], "seq", "one", "n")
+    return out.select("name", "seq", "expected", (F.col("one") == 1).alias("applied"), (F.col("n") - 1).alias("version"))
 
-    That is: the k-th applied change is the first one after the last applied whose expected version is k - 2. It is found one version at a time, as the first row with each expected version after its predecessor, by a fold over each row's changes.
-    """
-    per = changes.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "expected"))).alias("all"))
-    start = F.struct(F.lit(-1).cast("long").alias("version"), F.array().cast("array<struct<seq:bigint,expected:bigint,applied:boolean,version:bigint>>").alias("out"))
 
-    def step(acc, x):
-        ok = x["expected"] == acc["version"]
-        version = F.when(ok, acc["version"] + 1).otherwise(acc["version"])
-        row = F.struct(x["seq"].cast("long").alias("seq"), x["expected"].cast("long").alias("expected"), ok.alias("applied"), version.alias("version"))
-        return F.struct(version.alias("version"), F.concat(acc["out"], F.array(row)).alias("out"))
+def cas_outcomes(changes: DataFrame, history: int = HISTORY) -> DataFrame:
+    """(name, seq, expected, applied, version) of changes in order of seq to rows that begin at version -1: a change is applied if it expects the version that the ones before it left, and makes the next.
 
-    return per.select("name", F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("o")).select("name", "o.*")
+    A name with at most `history` changes is one pass over them. Names with more, which are found by a count, are followed by joins, in as many rounds as the number of their versions has binary digits; these need a checkpoint folder.
+    """
+    rows = changes.select("name", F.col("seq").cast("long").alias("seq"), F.col("expected").cast("long").alias("expected"))
+    schema = f"name {rows.schema['name'].dataType.simpleString()}, seq long, expected long, applied boolean, version long"
+    long_ = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > history).select("name")
+    if long_.isEmpty():
+        return rows.groupBy("name").applyInArrow(_in_order, schema)
+    short = rows.join(long_, "name", "left_anti").groupBy("name").applyInArrow(_in_order, schema)
+    return short.unionByName(_followed(rows.join(long_, "name", "left_semi").select("name", "seq", "expected")))
 
 
 def rebuilt_segments(segments: DataFrame, lra: DataFrame, ensemble) -> DataFrame:
@@ -81,18 +117,57 @@ class Catalog:
             raise NotFound(f"{table}: {key}")
         return found.asDict()
 
-    def put(self, table: str, expected: int, deleted: bool = False, **row) -> int:
-        """Writes a row if its version is `expected`, -1 for none; returns the new version."""
-        key = {k: row[k] for k in self.KEYS[table]}
+    def _claim(self, table: str, key: dict, version: int, row: dict) -> bool:
+        """Creates the version's file, in one step that fails if it is there. Where it is, a row that is missing from the table is added."""
+        path = f"{self.folder}/_claims/{table}/{quote(json.dumps(list(key.values())), safe='')}/{version:020d}"
+        where = urlparse(path)
+        if where.scheme in ("", "file"):
+            os.makedirs(os.path.dirname(where.path), exist_ok=True)
+            try:
+                with os.fdopen(os.open(where.path, os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                    json.dump(row, f)
+                return True
+            except FileExistsError:
+                with open(where.path) as f:
+                    held = f.read()
+        else:
+            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            files = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            try:
+                out = files.create(hadoop, False)
+                out.write(bytearray(json.dumps(row).encode()))
+                out.close()
+                return True
+            except Exception:
+                if not files.exists(hadoop):
+                    raise
+            held = "".join(r.value for r in self.spark.read.text(path).collect())
+        # An empty claim is one that is being made right now.
+        if held and self._at(table, key).where(F.col("version") == version).isEmpty():
+            self._append(table, json.loads(held))
+        return False
+
+    def _append(self, table: str, row: dict) -> None:
+        self.spark.createDataFrame([row], self.SCHEMAS[table]).coalesce(1).write.mode("append").parquet(self._path(table))
+
+    def _at(self, table: str, key: dict) -> DataFrame:
         rows = self.versions(table)
         for k, v in key.items():
             rows = rows.where(F.col(k) == v)
-        last = rows.orderBy(F.desc("version")).first()
+        return rows
+
+    def put(self, table: str, expected: int, deleted: bool = False, **row) -> int:
+        """Writes a row if its version is `expected`, -1 for none; returns the new version. Of writers that expect the same version one succeeds, the others get a Conflict."""
+        key = {k: row[k] for k in self.KEYS[table]}
+        last = self._at(table, key).orderBy(F.desc("version")).first()
         now = -1 if last is None or last.deleted else last.version
         if now != expected:
             raise Conflict(f"{table}: {key} is at version {now}, not {expected}")
         version = (-1 if last is None else last.version) + 1
-        self.spark.createDataFrame([row | {"version": version, "deleted": deleted}], self.SCHEMAS[table]).coalesce(1).write.mode("append").parquet(self._path(table))
+        whole = {f.split()[0]: None for f in self.SCHEMAS[table].split(", ")} | row | {"version": version, "deleted": deleted}
+        if not self._claim(table, key, version, whole):
+            raise Conflict(f"{table}: {key} got version {version} from another writer")
+        self._append(table, whole)
         return version
 
     def delete(self, table: str, expected: int, **key) -> None:
