@@ -20,12 +20,12 @@ def encode(data: bytes, kind: int = 1, log_number: int = 0) -> bytes:
     return HEADER.pack(crc, len(data), kind, log_number) + data
 
 
-def decode(raw: bytes | None) -> tuple[bytes, int, int] | None:
-    """(data, kind, log number); None for what is cut short, of unknown type or fails its checksum."""
-    if raw is None or len(raw) < HEADER.size:
+def decode(raw: bytes | memoryview | None, at: int = 0) -> tuple[bytes, int, int] | None:
+    """(data, kind, log number) of the record that begins at a place; None for what is cut short, of unknown type or fails its checksum."""
+    if raw is None or len(raw) - at < HEADER.size:
         return None
-    crc, size, kind, number = HEADER.unpack_from(raw)
-    data = raw[HEADER.size : HEADER.size + size]
+    crc, size, kind, number = HEADER.unpack_from(raw, at)
+    data = bytes(raw[at + HEADER.size : at + HEADER.size + size])
     if len(data) < size or kind > 4 or crc != xxhash.xxh32_intdigest(struct.pack("<BI", kind, number) + data, 0):
         return None
     return data, kind, number
@@ -33,11 +33,15 @@ def decode(raw: bytes | None) -> tuple[bytes, int, int] | None:
 
 def replay(raw: bytes) -> list[tuple[bytes, int, int]]:
     """The records of a log file, up to the first that can't be read."""
-    out, at = [], 0
-    while (r := decode(raw[at:])) is not None:
-        out.append(r)
+    return [r for _, r in replayed(raw)]
+
+
+def replayed(raw: bytes):
+    """(place, record) of a log file's records, up to the first that can't be read; each byte is looked at once."""
+    view, at = memoryview(raw), 0
+    while (r := decode(view, at)) is not None:
+        yield at, r
         at += HEADER.size + len(r[0])
-    return out
 
 
 def xxh32(data: Column, kind: Column | int = 1, log_number: Column | int = 0) -> Column:
