@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import acks, arrivals, events_log
-from .record import append_to, frontiers, record
+from .record import acked_blocks, append_to, frontiers, record
 from .tail import tail
 
 _LOG = """log AS (
@@ -56,9 +56,9 @@ def stream_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(3):
         a.where(F.col("unit") == f"u{i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    query = frontiers(stream, 3).writeStream.outputMode("update").foreachBatch(append_to(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = acked_blocks(stream, 3).writeStream.outputMode("update").foreachBatch(append_to(f"{folder}/out")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("timeline").agg(F.max("lra").alias("lra"))
+    return frontiers(spark.read.parquet(f"{folder}/out"))
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,67 +1,99 @@
-"""Recording: dense offsets for arriving events, kept in keyed state; and frontiers of arriving acknowledgements.
+"""Recording: dense offsets for arriving events; and frontiers of arriving acknowledgements.
 
-State and the sink's files are tied to the batch: a batch that is run again finds the state that it began with, gives the same offsets, and replaces its own folder.
+What a batch leaves behind is tied to the batch: one that is run again begins with what its predecessor left, gives the same offsets, and replaces its own folders.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-NUMBERED = "timeline string, seq long, ts_ms long, key long, payload string, log_offset long"
+from ..operators.ordered import BUCKET_ROWS, numbered
 
+#: Offsets whose acknowledgements one state value holds, as bits.
+BLOCK = 4096
 
-def _assign(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Numbers a micro-batch's events of one timeline after the last offset. Frames of a key aren't sorted among themselves, so its batch is sorted whole; trigger limits bound it."""
-    last = state.get[0] if state.exists else 0
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    rows["log_offset"] = range(last + 1, last + 1 + len(rows))
-    state.update((last + len(rows),))
-    yield rows[["timeline", "seq", "ts_ms", "key", "payload", "log_offset"]]
 
+def append_to(path: str):
+    """A foreachBatch sink of one folder per batch, which a rerun replaces."""
 
-def with_offsets(arrivals: DataFrame) -> DataFrame:
-    """Streaming arrivals (timeline, seq, ts_ms, key, payload) with log_offset. Events of a batch are numbered by seq, batches in order."""
-    return arrivals.select("timeline", "seq", "ts_ms", "key", "payload").groupBy("timeline").applyInPandasWithState(_assign, NUMBERED, "last long", "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    return write
 
-def _collect(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the frontier and what is acknowledged above it. State shrinks as the frontier moves."""
-    lra, replicas, pending = state.get if state.exists else (0, 0, [])
-    held: dict[int, set[str]] = {}
-    for p in pending:
-        offset, unit = p.split(":", 1)
-        held.setdefault(int(offset), set()).add(unit)
-    for frame in frames:
-        replicas = int(frame["replicas"].iloc[0]) if len(frame) else replicas
-        for offset, unit in zip(frame["log_offset"], frame["unit"], strict=True):
-            if offset > lra:
-                held.setdefault(int(offset), set()).add(unit)
-    while len(held.get(lra + 1, ())) >= max(1, replicas):
-        lra += 1
-        del held[lra]
-    state.update((lra, replicas, sorted(f"{o}:{u}" for o, us in held.items() for u in us)))
-    yield pd.DataFrame({"timeline": [key[0]], "lra": [lra]})
 
+def with_offsets(batch: DataFrame, ends: DataFrame | None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """A batch of arrivals (timeline, seq, ..) with log_offset: numbered by seq behind the timeline's last offset, of which `ends` (timeline, last) has one row each. A timeline of more than bucket_rows events in the batch is numbered in parts."""
+    out = numbered(batch, ["timeline"], "seq", "log_offset", bucket_rows)
+    if ends is None:
+        return out
+    return out.join(ends, "timeline", "left").withColumn("log_offset", F.col("log_offset") + F.coalesce("last", F.lit(0))).select(*batch.columns, "log_offset")
 
-def frontiers(acks: DataFrame, replicas: int) -> DataFrame:
-    """Streaming acknowledgements (timeline, log_offset, unit) to (timeline, lra), one row per timeline and batch; lra only grows."""
-    return acks.withColumn("replicas", F.lit(replicas)).groupBy("timeline").applyInPandasWithState(_collect, "timeline string, lra long", "lra long, replicas int, pending array<string>", "update", GroupStateTimeout.NoTimeout)
 
-
-def append_to(path: str):
-    """A foreachBatch sink of one folder per batch, which a rerun replaces."""
+def number_to(path: str, ends: str, bucket_rows: int = BUCKET_ROWS):
+    """A foreachBatch sink that numbers a batch, writes it to a folder of its own and, to one under `ends`, the last offset of every timeline so far, one row each."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = spark.read.schema("timeline string, last long").parquet(f"{ends}/batch={batch_id - 1}") if batch_id else None
+        # The batch is looked at more than once; its source is read once.
+        held = batch.persist()
+        try:
+            with_offsets(held, before, bucket_rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            held.unpersist()
+        now = spark.read.parquet(f"{path}/batch={batch_id}").groupBy("timeline").agg(F.max("log_offset").alias("last"))
+        if before is not None:
+            now = now.unionByName(before).groupBy("timeline").agg(F.max("last").alias("last"))
+        now.write.mode("overwrite").parquet(f"{ends}/batch={batch_id}")
 
     return write
 
 
-def record(arrivals: DataFrame, path: str, checkpoint: str):
-    """Starts a query that numbers arrivals and appends them to the log at path; it ends when what is there has been written."""
-    return with_offsets(arrivals).writeStream.foreachBatch(append_to(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def record(arrivals: DataFrame, path: str, checkpoint: str, bucket_rows: int = BUCKET_ROWS):
+    """Starts a query that numbers arrivals (timeline, seq, ..) and appends them to the log at path; it ends when what is there has been written. How much a batch gathers is the source's to say (maxFilesPerTrigger), how long a batch waits the trigger's."""
+    sink = number_to(path, f"{checkpoint}/ends", bucket_rows)
+    return arrivals.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _through(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Sets the bits of what is acknowledged in a block of offsets, unit by unit; `through` is how many of its first offsets all replicas have."""
+    units, bits = state.get if state.exists else ([], [])
+    held = {u: np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for u, b in zip(units, bits, strict=True)}
+    replicas = 1
+    for frame in frames:
+        if not len(frame):
+            continue
+        replicas = int(frame["replicas"].iloc[0])
+        for unit, offsets in frame.groupby("unit")["log_offset"]:
+            held.setdefault(unit, np.zeros(BLOCK, bool))[(offsets.to_numpy() - 1) % BLOCK] = True
+    count = np.sum(list(held.values()), axis=0)
+    short = np.flatnonzero(count < replicas)
+    state.update((list(held), [np.packbits(x).tobytes() for x in held.values()]))
+    yield pd.DataFrame({"timeline": [key[0]], "block": [key[1]], "through": [int(short[0]) if len(short) else BLOCK]})
+
+
+def acked_blocks(acks: DataFrame, replicas: int) -> DataFrame:
+    """Streaming acknowledgements (timeline, log_offset, unit) to (timeline, block, through): for blocks of BLOCK offsets, how many of the first ones are on all replicas; through only grows.
+
+    A state value is a bit per offset and unit of one block, whatever arrives out of order or not at all, and a hot timeline's blocks are spread over tasks.
+    """
+    block = F.floor((F.col("log_offset") - 1) / BLOCK).cast("long").alias("block")
+    keyed = acks.where("log_offset > 0").select("timeline", block, "log_offset", "unit", F.lit(replicas).alias("replicas"))
+    return keyed.groupBy("timeline", "block").applyInPandasWithState(_through, "timeline string, block long, through long", "units array<string>, bits array<binary>", "update", GroupStateTimeout.NoTimeout)
+
+
+def frontiers(blocks: DataFrame) -> DataFrame:
+    """(timeline, lra) from what acked_blocks() has written: the end of the first block that isn't whole, or behind which one is missing."""
+    newest = blocks.groupBy("timeline", "block").agg(F.max("through").alias("through"))
+    whole = newest.where(F.col("through") == BLOCK).select("timeline", "block")
+    # Candidates are block 0 and what follows a whole block; the first that isn't whole itself is where the frontier stands.
+    after = whole.select("timeline", (F.col("block") + 1).alias("block")).unionByName(newest.select("timeline", F.lit(0).cast("long").alias("block")).distinct())
+    ends = after.join(whole, ["timeline", "block"], "left_anti").groupBy("timeline").agg(F.min("block").alias("block"))
+    return ends.join(newest, ["timeline", "block"], "left").select("timeline", (F.col("block") * BLOCK + F.coalesce("through", F.lit(0))).alias("lra"))
