@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,9 @@ from ..functions import payload as P
 from ..functions import records as R
 from ..operators import catalog, frontier, log, metrics, ordered, placement, segments, verify
 from ..sources.tables import acks, arrivals, conversations_log, events_log, table, units
+from ..sources.wal import last_records, read_wal
+from .storage import LogStore, SegmentCache
+from .timeline import change_ensemble, missing_copies, open_timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,9 +110,9 @@ def _(spark, d):
     return log.user_view(rows).select("timeline", "log_offset", "ts_ms", "payload")
 
 
-@query("ack_projection", f"WITH {_LOG} SELECT timeline, CAST(1 AS BIGINT) AS term, log_offset, CAST(NULL AS VARCHAR) AS payload, CAST(-1 AS BIGINT) AS ts_ms FROM log WHERE log_offset <= 20")
+@query("ack_projection", f"WITH {_LOG} SELECT timeline, CAST(1 AS BIGINT) AS term, log_offset, CAST(NULL AS VARCHAR) AS payload, CAST(-1 AS BIGINT) AS ts_ms FROM log")
 def _(spark, d):
-    return log.ack_view(events_log(spark, d).where("log_offset <= 20").withColumn("term", F.lit(1).cast("long")))
+    return log.ack_view(events_log(spark, d).withColumn("term", F.lit(1).cast("long")))
 
 
 @query("corrupt_rows_skipped", f"WITH {_LOG} SELECT timeline, CAST(sum(CASE WHEN TRY_CAST(json_extract_string(CASE WHEN seq % 13 = 0 THEN payload[:4] ELSE payload END, '$.k') AS BIGINT) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM (SELECT timeline, seq, CASE WHEN seq % 13 = 0 THEN '{{}}' ELSE payload END AS payload FROM log) GROUP BY timeline")
@@ -221,9 +225,9 @@ def _(spark, d):
     return frontier.check_terms(rows, state).select("timeline", "seq", "term", "unit_term", "ok")
 
 
-@query("lra_monotone", f"WITH {_LOG} SELECT timeline, greatest(max(log_offset), -1) AS lra FROM log WHERE seq % 3 = 0 GROUP BY timeline")
+@query("lra_monotone", f"WITH {_LOG} SELECT timeline, greatest(max(log_offset), -1) AS lra FROM log GROUP BY timeline")
 def _(spark, d):
-    return frontier.monotone(events_log(spark, d).where("seq % 3 = 0").withColumnRenamed("log_offset", "lra"))
+    return frontier.monotone(events_log(spark, d).withColumnRenamed("log_offset", "lra"))
 
 
 @query("truncate_replay", """WITH w AS (SELECT event_type AS timeline, event_id AS seq, CAST(floor(value) AS BIGINT) % 50 AS log_offset, event_id % 40 = 0 AS trunc FROM events),
@@ -317,9 +321,9 @@ def _(spark, d):
     return segments.expired(_manifest(spark, d), 1_500_000, F.when(F.col("segment_id") % 2 == 0, 300_000).otherwise(900_000)).select("segment_id", "level")
 
 
-@query("index_resolve", f"WITH {_MANIFEST} SELECT l_orderkey AS timeline, l_linenumber AS log_offset, segment_id, '/segments/' || segment_id AS path, location FROM lineitem JOIN m ON l_partkey = segment_id WHERE l_quantity > 40")
+@query("index_resolve", f"WITH {_MANIFEST} SELECT l_orderkey AS timeline, l_linenumber AS log_offset, segment_id, '/segments/' || segment_id AS path, location FROM lineitem JOIN m ON l_partkey = segment_id")
 def _(spark, d):
-    index = table(spark, d, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("timeline"), F.col("l_linenumber").alias("log_offset"), F.col("l_partkey").alias("segment_id"))
+    index = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("timeline"), F.col("l_linenumber").alias("log_offset"), F.col("l_partkey").alias("segment_id"))
     manifest = _manifest(spark, d).withColumn("path", F.concat(F.lit("/segments/"), F.col("segment_id").cast("string")))
     return segments.resolve(index, manifest)
 
@@ -342,9 +346,10 @@ def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.round(K.disk_usage(s % 7, F.when(s % 10 > 0, s % 10 + 7).otherwise(0)), 9).alias("used"))
 
 
-@query("orphan_segments", "SELECT p_partkey AS segment_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)")
+@query("orphan_segments", "SELECT p_partkey AS segment_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 13 <> 5)")
 def _(spark, d):
-    index = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("segment_id"))
+    # An index that has lost the entries of every 13th segment.
+    index = table(spark, d, "lineitem").where("l_partkey % 13 <> 5").select(F.col("l_partkey").alias("segment_id"))
     return segments.orphans(_manifest(spark, d).select("segment_id"), index)
 
 
@@ -629,6 +634,215 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", R.xxh32(F.col("text")).alias("xxh32"))
 
 
+# Storage, catalog and takeovers on files
+
+
+def _folder(spark) -> str:
+    """A new folder that all machines share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/stratalog-{uuid.uuid4().hex}"
+
+
+def _store(spark, d, batches: int = 4) -> LogStore:
+    """The events as level-1 segments of as many batches, cut by sequence; every tenth event is written again by the next batch."""
+    store = LogStore(spark, _folder(spark))
+    rows = events_log(spark, d).select("timeline", "log_offset", "seq", "payload")
+    part = F.col("seq") % batches
+    for k in range(batches):
+        again = rows.where((part == (k - 1) % batches) & (F.col("seq") % 10 == 0)).select("timeline", "log_offset", (F.col("seq") + 10_000_000).alias("seq"), F.concat("payload", F.lit("!")).alias("payload"))
+        store.flush(rows.where(part == k).unionByName(again), now_ms=k)
+    return store
+
+
+_STORED = f"""{_LOG}, stored AS (SELECT timeline, log_offset, CASE WHEN seq % 10 = 0 THEN payload || '!' ELSE payload END AS payload FROM log)"""
+
+
+@query("store_flush", f"WITH {_LOG}, b AS (SELECT seq % 4 AS batch FROM log UNION ALL SELECT (seq + 1) % 4 FROM log WHERE seq % 10 = 0) SELECT batch, count(*) AS entry_count FROM b GROUP BY batch")
+def _(spark, d):
+    m = _store(spark, d).manifest()
+    return m.where("level = 1").select(F.col("created_at").alias("batch"), "entry_count")
+
+
+@query("store_merge", f"WITH {_STORED} SELECT timeline, log_offset, payload FROM stored")
+def _(spark, d):
+    """All rows that a merge of the level-1 segments leaves: one version of each event."""
+    store = _store(spark, d)
+    store.merge(now_ms=10)
+    return store.scan().select("timeline", "log_offset", "payload")
+
+
+@query("store_split", f"WITH {_STORED} SELECT timeline, 3 AS level, count(*) AS entry_count, CAST(sum(length(payload)) AS BIGINT) AS size, min(log_offset) AS low_offset, max(log_offset) AS high_offset FROM stored GROUP BY timeline")
+def _(spark, d):
+    store = _store(spark, d)
+    store.compact(now_ms=10)
+    return store.manifest().select(F.col("low_timeline").alias("timeline"), "level", "entry_count", "size", "low_offset", "high_offset")
+
+
+@query("store_offload", f"WITH {_STORED} SELECT 'remote' AS location, timeline, log_offset, payload FROM stored")
+def _(spark, d):
+    """What is read after all segments went to the cold path."""
+    store = _store(spark, d)
+    store.compact(now_ms=10)
+    store.offload(_folder(spark))
+    where = store.manifest().select("segment_id", "location")
+    return store.read().join(where, "segment_id").select("location", "timeline", "log_offset", "payload")
+
+
+@query("store_tiers", f"WITH {_LOG} SELECT timeline, log_offset, CASE WHEN seq % 4 = 3 THEN payload || '+' ELSE payload END AS payload FROM log WHERE seq % 4 <> 0")
+def _(spark, d):
+    """Two batches, sealed and flushed; a third on top, sealed and cleared before it is flushed; and one that is active."""
+    store = LogStore(spark, _folder(spark))
+    rows = events_log(spark, d).select("timeline", "log_offset", "seq", "payload")
+    part = lambda k: rows.where(F.col("seq") % 4 == k)
+    store.append(part(1).unionByName(part(3)), 0)
+    store.append(part(2), 1)
+    store.seal()
+    store.flush_sealed(2)
+    store.append(part(0), 3)
+    store.seal()
+    store.clear_sealed()
+    store.append(part(3).select("timeline", "log_offset", (F.col("seq") + 10_000_000).alias("seq"), F.concat("payload", F.lit("+")).alias("payload")), 4)
+    return store.read().select("timeline", "log_offset", "payload")
+
+
+@query("cold_read", f"WITH {_STORED} SELECT timeline, count(*) AS n, CAST(sum(length(payload)) AS BIGINT) AS bytes FROM stored GROUP BY timeline")
+def _(spark, d):
+    """Remote segments through a cache of two."""
+    store = _store(spark, d)
+    store.compact(now_ms=10)
+    store.offload(_folder(spark))
+    cache = SegmentCache(store, _folder(spark), 2)
+    # A copy that makes room for another goes, so that each is summed up while it is there.
+    out = [r for i in sorted(x.segment_id for x in store.manifest().collect()) for r in cache.read(i).groupBy("timeline").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("payload")).alias("bytes")).collect()]
+    return spark.createDataFrame(out, "timeline string, n long, bytes long")
+
+
+@query("wal_records", "SELECT item_id AS log_number, CAST(1 + item_id % 4 AS INTEGER) AS type, text AS data FROM benchmark")
+def _(spark, d):
+    """The benchmark's texts as records of write-ahead files, read back as a table; each record is written twice."""
+    folder = _folder(spark)
+    rows = table(spark, d, "benchmark").select("item_id", "text")
+    frames = rows.select((F.col("item_id") % 3).alias("file"), R.encoded(F.col("text"), (1 + F.col("item_id") % 4).cast("int"), F.col("item_id")).alias("raw"), "item_id")
+    raw = frames.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("item_id", "raw"))).alias("all")).select("file", F.aggregate(F.transform("all", lambda x: x["raw"]), F.lit(b""), lambda a, x: F.concat(a, x, x)).alias("raw"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in raw.toLocalIterator():
+        out = files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.file:08d}.log"), False)
+        out.write(r.raw)
+        out.close()
+    return last_records(read_wal(spark, folder)).select("log_number", "type", F.col("data").cast("string").alias("data"))
+
+
+def _catalog(spark, d) -> tuple[catalog.Catalog, list[str]]:
+    names = sorted(r.event_type for r in table(spark, d, "events").select("event_type").distinct().collect())
+    c = catalog.Catalog(spark, _folder(spark))
+    for n in names:
+        c.create_timeline(n)
+    return c, names
+
+
+@query("catalog_timelines", "WITH t AS (SELECT event_type AS name, row_number() OVER (ORDER BY event_type) AS timeline_id FROM (SELECT DISTINCT event_type FROM events)) SELECT name, timeline_id, CASE WHEN timeline_id % 2 = 0 THEN CAST(4 AS BIGINT) ELSE 0 END AS term, CASE WHEN timeline_id % 2 = 0 THEN CAST(1 AS BIGINT) ELSE 0 END AS version FROM t WHERE timeline_id <> 1")
+def _(spark, d):
+    """One timeline for each kind of event; the first is dropped, every second one gets a new term by its version."""
+    c, names = _catalog(spark, d)
+    c.drop_timeline(names[0])
+    for n in names[1::2]:
+        row = c.get("timelines", name=n)
+        c.put("timelines", row["version"], **{k: row[k] for k in ("name", "timeline_id", "status", "lra")}, term=4)
+        try:
+            c.put("timelines", row["version"], **{k: row[k] for k in ("name", "timeline_id", "status", "lra")}, term=9)
+        except catalog.Conflict:
+            pass
+    return c.list("timelines").select("name", "timeline_id", "term", "version")
+
+
+@query("catalog_units", "SELECT s_name AS address, 'zone-' || CAST(s_nationkey % 5 AS VARCHAR) AS zone, CASE WHEN s_suppkey % 2 = 0 THEN 'READONLY' ELSE 'WRITABLE' END AS status, CASE WHEN s_suppkey % 2 = 0 THEN CAST(1 AS BIGINT) ELSE 0 END AS version FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 6) WHERE s_suppkey % 5 <> 0")
+def _(spark, d):
+    """Registrations of the first six suppliers; some are put again, some leave."""
+    c = catalog.Catalog(spark, _folder(spark))
+    first = table(spark, d, "supplier").orderBy("s_suppkey").limit(6).collect()
+    for r in first:
+        zone = f"zone-{r.s_nationkey % 5}"
+        c.register_unit(r.s_name, zone)
+        if r.s_suppkey % 2 == 0:
+            c.register_unit(r.s_name, zone, "READONLY")
+        if r.s_suppkey % 5 == 0:
+            c.unregister_unit(r.s_name, zone)
+    return c.list("units").select("address", "zone", "status", "version")
+
+
+@query("takeover", f"""WITH {_UNITS}, top AS (SELECT address, row_number() OVER (ORDER BY turn, zone) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY pressure, address) AS turn FROM ready) QUALIFY rank <= 3)
+SELECT 't' AS name, CAST(2 AS BIGINT) AS term, CAST(70 AS BIGINT) AS lra, CAST(71 AS BIGINT) AS start_offset, string_agg(address, ',' ORDER BY rank) AS ensemble FROM top""")
+def _(spark, d):
+    """A timeline that is opened a second time, after its units reported frontiers of 50, 60 and 70."""
+    c, states, u = catalog.Catalog(spark, _folder(spark)), {}, units(spark, d)
+    first = open_timeline(c, "t", u, states, 3)
+    for k, a in enumerate(first["ensemble"]):
+        states[a].advance("t", 50 + 10 * k)
+    open_timeline(c, "t", u, states, 3)
+    last = c.list("segments").groupBy("name").agg(F.max_by("ensemble", "start_offset").alias("ensemble"), F.max("start_offset").alias("start_offset"))
+    return c.list("timelines").select("name", "term", "lra").join(last, "name").select("name", "term", "lra", "start_offset", F.array_join("ensemble", ",").alias("ensemble"))
+
+
+@query("ensemble_change", f"""WITH {_UNITS}, top AS (SELECT address, row_number() OVER (ORDER BY turn, zone) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY pressure, address) AS turn FROM ready) QUALIFY rank <= 3),
+stay AS (SELECT ready.*, rank FROM ready JOIN top USING (address) WHERE rank <> 1),
+fresh AS (SELECT ready.*, row_number() OVER (PARTITION BY zone ORDER BY pressure, address) AS turn, (SELECT count(*) FROM stay WHERE stay.zone = ready.zone) AS used FROM ready WHERE address NOT IN (SELECT address FROM top)),
+added AS (SELECT address, zone FROM fresh ORDER BY turn, used, zone, address LIMIT 1)
+SELECT CAST(1 AS BIGINT) AS start_offset, (SELECT string_agg(address, ',' ORDER BY rank) FROM top) AS ensemble UNION ALL SELECT 41, (SELECT string_agg(address, ',' ORDER BY rank) FROM stay) || ',' || (SELECT address FROM added)""")
+def _(spark, d):
+    """The first unit of an open timeline fails when the frontier is at 40."""
+    c, states, u = catalog.Catalog(spark, _folder(spark)), {}, units(spark, d)
+    first = open_timeline(c, "t", u, states, 3)
+    change_ensemble(c, "t", u, first["ensemble"][:1], 40)
+    return c.list("segments").select("start_offset", F.array_join("ensemble", ",").alias("ensemble"))
+
+
+@query("missing_copies", f"""WITH {_LOG}, w AS (SELECT timeline, log_offset, unnest(CASE WHEN log_offset <= 400 THEN ['u0', 'u1', 'u2'] ELSE ['u0', 'u2', 'u3'] END) AS unit FROM log),
+a AS (SELECT timeline, log_offset, unit FROM log, (VALUES ('u0'), ('u1'), ('u2')) AS u(unit) WHERE NOT (unit = 'u1' AND seq % 997 = 500) AND NOT (unit = 'u2' AND seq >= 9000 AND seq % 2 = 1))
+SELECT timeline, log_offset, unit FROM w WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.timeline = w.timeline AND a.log_offset = w.log_offset AND a.unit = w.unit)""")
+def _(spark, d):
+    """What is to be written again when u3 has taken u1's place from offset 401 on."""
+    rows = events_log(spark, d)
+    starts = rows.where("log_offset IN (1, 401)").select("timeline", F.col("log_offset").alias("start_offset"), F.when(F.col("log_offset") == 1, F.array(F.lit("u0"), F.lit("u1"), F.lit("u2"))).otherwise(F.array(F.lit("u0"), F.lit("u2"), F.lit("u3"))).alias("ensemble"))
+    return missing_copies(rows, acks(rows), starts)
+
+
+@query("last_segment", f"WITH {_LOG} SELECT timeline, max(log_offset) AS start_offset FROM log WHERE (log_offset - 1) % 400 = 0 GROUP BY timeline")
+def _(spark, d):
+    return _segments(events_log(spark, d)).groupBy("timeline").agg(F.max("start_offset").alias("start_offset"))
+
+
+@query("fence_replies", f"WITH {_ACKS} SELECT timeline, greatest(0, max(high)) AS lra FROM (SELECT timeline, unit, max(log_offset) AS high FROM acks WHERE unit <> 'u0' GROUP BY ALL) GROUP BY timeline")
+def _(spark, d):
+    """The frontier that a takeover takes from the replies of the units that answer: the largest, 0 at least."""
+    rows = events_log(spark, d)
+    replies = acks(rows).where("unit <> 'u0'").groupBy("timeline", "unit").agg(F.max("log_offset").alias("lra"))
+    return replies.groupBy("timeline").agg(F.greatest(F.max("lra"), F.lit(0)).alias("lra"))
+
+
+@query("retention_cutoff", "SELECT p_partkey, 1000000000 - p_size * 3600000 AS cutoff FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", K.cutoff_ms(F.lit(1_000_000_000).cast("long"), F.col("p_size").cast("long")).alias("cutoff"))
+
+
+@query("aligned_sizes", "SELECT p_partkey, (CAST(floor(p_retailprice) AS BIGINT) + 4095) // 4096 * 4096 AS aligned FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", K.align_up(F.floor("p_retailprice")).alias("aligned"))
+
+
+@query("directory_bytes", "SELECT source AS directory, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) AS files FROM (SELECT item_id % 2 AS source, text FROM benchmark) GROUP BY source")
+def _(spark, d):
+    """The benchmark's texts as files of two directories, and the directories' sizes from listings."""
+    folder = _folder(spark)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    files = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in table(spark, d, "benchmark").select("item_id", "text").toLocalIterator():
+        out = files.create(jvm.Path(f"{folder}/{r.item_id % 2}/{r.item_id}"), False)
+        out.write(bytearray(r.text.encode()))
+        out.close()
+    return metrics.directory_sizes(spark, folder).select(F.element_at(F.split("directory", "/"), -1).cast("long").alias("directory"), "bytes", "files")
+
+
 def queries() -> dict[str, Query]:
     from ..streaming import queries as streams
 

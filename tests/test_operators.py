@@ -197,10 +197,68 @@ def test_directory_sizes(spark, tmp_path):
 
 
 def test_skewed_windows_split(spark):
-    """Over the bucket size, the plan partitions by bucket as well as by key."""
+    """A hot key's windows are partitioned by bucket as well as by key; other keys have the plain one."""
     df = spark.range(100).select(F.lit("t").alias("k"), F.col("id").alias("o"))
     plan = ordered.numbered(df, ["k"], "o", "n", bucket_rows=10)._jdf.queryExecution().optimizedPlan().toString()
     assert "__bucket" in plan
+    plan = ordered.numbered(spark.range(100).select((F.col("id") % 20).alias("k"), F.col("id").alias("o")), ["k"], "o", "n", bucket_rows=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" not in plan
+
+
+def test_thousands_of_buckets(spark):
+    """A hot key in thousands of cells beside small ones, with values that crowd at one end and far outliers; a plan that doesn't grow with the cells."""
+    o = F.when(F.col("id") % 50 == 0, F.col("id") * F.col("id") * 1000).otherwise(F.col("id"))
+    df = spark.range(1, 30_001).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("cold"), (F.col("id") % 70).cast("string"))).otherwise("hot").alias("k"), o.alias("o"), (F.col("id") % 7).alias("v"))
+    cut = ordered.with_buckets(df, ["k"], "o", 8)
+    sizes = cut.groupBy("k", "__bucket").count()
+    assert sizes.where("k = 'hot'").count() > 2000 and sizes.agg(F.max("count")).first()[0] <= 8 * ordered.CROWDED
+    assert len(cut._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    for f, value in ((ordered.running_sum, "v"), (ordered.running_max, "v"), (ordered.following_min, "v"), (ordered.previous, "v")):
+        assert same(f(df, ["k"], "o", value, "x", 8), f(df, ["k"], "o", value, "x"))
+    assert same(ordered.numbered(df, ["k"], "o", "x", 8), ordered.numbered(df, ["k"], "o", "x"))
+
+
+def same(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_runs_and_gaps_in_buckets(spark, monkeypatch):
+    from stratalog.operators import segments, verify
+
+    df = spark.range(1, 2001).where("id % 17 <> 3").select(F.lit(1).alias("segment_id"), F.lit("t").alias("timeline"), F.col("id").alias("log_offset"), F.lit(5).cast("long").alias("length"))
+    find = lambda: (segments.runs(df, ["segment_id"], "log_offset", F.col("__previous") != F.col("log_offset") - 1, "log_offset"), verify.gaps(df), segments.placed(df, ["segment_id"], "log_offset"))
+    want = find()
+    for f in (ordered.with_buckets, ordered._running, ordered.numbered, ordered.running_sum, ordered.previous):
+        monkeypatch.setattr(f, "__defaults__", tuple(9 if d == ordered.BUCKET_ROWS else d for d in f.__defaults__ or ()))
+    for a, b in zip(find(), want, strict=True):
+        assert same(a, b)
+
+
+def test_long_histories_are_followed_by_joins(spark):
+    import random
+
+    from stratalog.operators import catalog
+
+    rng = random.Random(2)
+    data = [(n, s, rng.randint(-1, 12)) for n, m in (("a", 300), ("b", 40), ("c", 1)) for s in range(m)] + [("d", i, i - 1) for i in range(70)]
+    df = spark.createDataFrame(data, "name string, seq long, expected long")
+    want = {}
+    for n in "abcd":
+        version = -1
+        for _, s, e in sorted(x for x in data if x[0] == n):
+            ok = e == version
+            version += ok
+            want[n, s] = (e, ok, version)
+    for history in (1000, 50, 0):
+        assert {(r.name, r.seq): (r.expected, r.applied, r.version) for r in catalog.cas_outcomes(df, history).collect()} == want
+
+
+def test_first_difference(spark):
+    from stratalog.functions.payload import first_difference
+
+    pairs = [("", "a"), ("a", "a"), ("abc", "abd"), ("äöü", "äöx"), ("abc", "abcd"), ("x" * 5000 + "1", "x" * 5000 + "2"), ("b", "a"), ("", ""), ("a😀b", "a😀c"), ("ab", "a"), (None, "a")]
+    got = [r.d for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", first_difference(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()]
+    assert got == [0, None, 2, 2, 3, 5000, 0, None, 2, 1, None]
 
 
 def test_frontier_sums_before_the_shuffle(spark, sf_dir):

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from stratalog.streaming.record import append_to, frontiers, record
-from stratalog.streaming.tail import tail
+from stratalog.streaming.record import BLOCK, acked_blocks, append_to, frontiers, number_to, record
+from stratalog.streaming.tail import follow, read_log, tail, write_log
 
 ARRIVALS = "timeline string, seq long, ts_ms long, key long, payload string"
 
@@ -49,19 +49,101 @@ def test_tail_resumes(spark, tmp_path):
     assert sorted(r.log_offset for r in spark.read.parquet(out).collect()) == [3, 4, 5, 6, 7, 8]
 
 
-def test_frontier_waits(spark, tmp_path):
+def test_a_batch_that_runs_again_numbers_alike(spark, tmp_path):
+    """Also where a hot timeline is numbered in parts."""
+    sink = number_to(str(tmp_path / "log"), str(tmp_path / "ends"), bucket_rows=7)
+    batch = lambda lo, hi: spark.createDataFrame([("hot" if i % 5 else "cold", i, f"p{i}") for i in range(lo, hi)], "timeline string, seq long, payload string")
+    for k, (lo, hi) in enumerate(((0, 60), (60, 61), (61, 130))):
+        sink(batch(lo, hi), k)
+        sink(batch(lo, hi), k)
+    got = spark.read.parquet(str(tmp_path / "log")).collect()
+    for t in ("hot", "cold"):
+        rows = sorted((r.seq, r.log_offset) for r in got if r.timeline == t)
+        assert [o for _, o in rows] == list(range(1, len(rows) + 1))
+    assert len(got) == 130
+
+
+def test_frontier_waits(spark, tmp_path, monkeypatch):
     src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     schema = "timeline string, log_offset long, unit string"
 
     def step(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = frontiers(spark.readStream.schema(schema).parquet(src), 2).writeStream.outputMode("update").foreachBatch(append_to(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q = acked_blocks(spark.readStream.schema(schema).parquet(src), 2).writeStream.outputMode("update").foreachBatch(append_to(out)).option("checkpointLocation", state).trigger(availableNow=True).start()
         q.awaitTermination()
-        return spark.read.parquet(out).agg(F.max("lra")).first()[0]
+        return {r.timeline: r.lra for r in frontiers(spark.read.parquet(out)).collect()}
+
+    assert step([("t", 1, "a"), ("t", 2, "a"), ("t", 2, "b")]) == {"t": 0}
+    assert step([("t", 1, "b"), ("t", 1, "b"), ("t", 4, "a"), ("t", 4, "b")]) == {"t": 2}
+    assert step([("t", 3, "b"), ("t", 3, "a")]) == {"t": 4}
+    # A lost acknowledgement in the first block holds back whole ones behind it, and a block is missing between.
+    far = [("u", o, x) for o in range(1, 3 * BLOCK + 3) if o != 9 for x in "ab"] + [("v", o, x) for o in [*range(1, BLOCK + 1), 2 * BLOCK + 1] for x in "ab"]
+    assert step(far) == {"t": 4, "u": 8, "v": BLOCK}
+    assert step([("u", 9, "a"), ("u", 9, "b"), ("v", BLOCK + 1, "a")]) == {"t": 4, "u": 3 * BLOCK + 2, "v": BLOCK}
+
+
+def stored(spark, path, lo, hi, timeline="t"):
+    return spark.range(lo, hi).select(F.lit(timeline).alias("timeline"), F.col("id").alias("log_offset"), F.col("id").alias("ts_ms"), F.lit(None).cast("string").alias("key"), F.concat(F.lit("p"), F.col("id")).alias("payload"))
+
+
+def test_log_source_reads_and_writes_tables(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(stored(spark, path, 1, 40).unionByName(stored(spark, path, 1, 9, "u")).repartition(3), path)
+    write_log(stored(spark, path, 40, 60), path)
+    assert sorted(r.log_offset for r in read_log(spark, path, "t").collect()) == list(range(1, 60))
+    assert sorted(r.payload for r in read_log(spark, path, "t", 10, 12).collect()) == ["p10", "p11", "p12"]
+    assert sorted(r.log_offset for r in read_log(spark, path, "u", 3, limit=2).collect()) == [3, 4]
+    assert read_log(spark, path, "none").count() == 0
+    assert spark.read.format("stratalog").option("timeline", "t").option("rows_per_partition", 10).load(path).rdd.getNumPartitions() == 6
+    assert not [f for f in (tmp_path / "log").iterdir() if f.name.startswith("_part")]
+
+
+def test_follow_ends_by_limit_and_by_time(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write_log(stored(spark, path, 1, 30), path)
+    assert follow(tail(spark, path, "t", 5, limit=10), append_to(str(tmp_path / "a")), str(tmp_path / "s1"), limit=10, timeout_s=60) == 10
+    assert sorted(r.log_offset for r in spark.read.parquet(str(tmp_path / "a")).collect()) == list(range(5, 15))
+    assert follow(tail(spark, path, "t", 28), append_to(str(tmp_path / "b")), str(tmp_path / "s2"), timeout_s=8) == 2
+
+
+def test_follow_reconnects(spark, tmp_path):
+    """Failures in a row are bounded; a batch that goes through sets them back."""
+    import pytest
+
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    write_log(stored(spark, path, 1, 6), path)
+    tries = []
+
+    def flaky(batch, batch_id):
+        tries.append(batch_id)
+        if len(tries) < 3:
+            raise OSError("not now")
+        append_to(out)(batch, batch_id)
+
+    assert follow(tail(spark, path, "t"), flaky, str(tmp_path / "s"), limit=5, timeout_s=90, reconnects=3) == 5 and len(tries) == 3
+    assert spark.read.parquet(out).count() == 5
+
+    def broken(batch, batch_id):
+        raise OSError("never")
+
+    with pytest.raises(Exception, match="never"):
+        follow(tail(spark, path, "t"), broken, str(tmp_path / "s2"), timeout_s=90, reconnects=1)
+
+
+def test_looking_for_the_end_is_tried_again(tmp_path, monkeypatch):
+    from stratalog.streaming import tail as T
+
+    reader = T._Reader({"path": str(tmp_path), "timeline": "t", "reconnects": "2", "backoff_s": "0"})
+    answers = iter([OSError(), OSError(), 7])
+
+    def end():
+        x = next(answers)
+        if isinstance(x, OSError):
+            raise x
+        return x
 
-    assert step([("t", 1, "a"), ("t", 2, "a"), ("t", 2, "b")]) == 0
-    assert step([("t", 1, "b"), ("t", 1, "b"), ("t", 4, "a"), ("t", 4, "b")]) == 2
-    assert step([("t", 3, "b"), ("t", 3, "a")]) == 4
+    monkeypatch.setattr(reader.log, "end", end)
+    assert reader.latestOffset() == {"next": 8}
 
 
 def test_watermarked_windows(spark, tmp_path):
