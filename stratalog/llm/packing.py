@@ -1,16 +1,17 @@
 """Packing of documents into sequences of equal length, related documents together.
 
-Documents are tokenized and cut into chunks of one window at most. Whole windows are sequences already. The rests are ordered by min-hashes of their tokens, in which rare tokens weigh more, and cut into shards of bounded size, so that rests that share much meet at every size of the input; in each, a BM25 inverted index over token ids, with the document frequencies and mean length of all rests, returns, for a seed, the unused documents that are closest to it, which fill the seed's window greedily. A document that doesn't fit is cut, and its rest is the next seed. So only a shard's last window is not full; it is cut at powers of two, which need no padding.
+Documents are tokenized and cut into chunks of one window at most. Whole windows are sequences already. The rests are sorted by min-hashes of their tokens, in which rare tokens weigh more, and the sorted rows are cut into shards of bounded size as they come, so that rests that share much meet at every size of the input; in each, a BM25 inverted index over token ids, with the document frequencies and mean length of all rests, returns, for a seed, the unused documents that are closest to it, which fill the seed's window greedily. A document that doesn't fit is cut, and its rest is the next seed. So only a shard's last window is not full; it is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
 import os
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,13 +20,13 @@ from .common import checkpointed, slices
 
 WINDOW = 4096
 END_ID = 2
-#: Text bytes to a shard; its number of shards follows from the size of all texts.
-SHARD_BYTES = 4 << 20
+#: Tokens to a shard, from which it is closed; the number of shards follows from the number of tokens.
+SHARD_TOKENS = 1 << 20
+#: Shards that a task sorts and packs one after another, where there are more than keep all cores busy.
+SHARDS_A_TASK = 64
 K1, B = 1.2, 0.75
 #: Min-hashes of a rest, the first of which count most in the order.
 HASHES = 4
-#: Rests to a shard that the shards' bounds are drawn from.
-SAMPLED = 64
 #: Spans whose ids a worker keeps before it starts anew.
 KEPT_SPANS = 100_000
 #: Text bytes encoded at a time.
@@ -136,6 +137,7 @@ class Corpus:
     """What all rests have in common: idf by token id, mean length, and the order of tokens for each min-hash."""
 
     def __init__(self, df: np.ndarray, n: int, total: int):
+        self.total = total
         self.idf, self.mean = np.log(1 + (n - df + 0.5) / (df + 0.5)), total / max(1, n)
         # The first of a text's tokens in a random order, in which a token's chance to be early grows with its idf. Tokens that no two rests share come last.
         draws = [np.where(df > 1, np.random.default_rng(k).exponential(size=len(df)) / np.maximum(self.idf, 1e-9), np.inf) for k in range(HASHES)]
@@ -245,17 +247,22 @@ def _halved(row: list[tuple[int, int, int]], window: int) -> list[list[tuple[int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+#: Bits of a sequence_id for its number in the shard, and for the shard's number in the task; the task's is above them. Whole windows have the highest bit, and their row's number.
+SEQUENCE_BITS, SHARD_BITS = 20, 16
+WHOLE = 1 << 62
+
+_PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Pieces (id, start, length, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit integers.
 
-    A document's ids are those of its text without special tokens, then end_id; null text is empty, so every row gives at least one id. start counts the document's ids before the piece. Sequences have window ids, but for those at a shard's end, whose lengths are powers of two. Rows that repeat are packed each by itself; an empty table gives an empty one. `tokenizer` is the path of the file on every machine.
+    A document's ids are those of its text without special tokens, then end_id; null text is empty, so every row gives at least one id. start counts the document's ids before the piece. Sequences have window ids, but for those at a shard's end, whose lengths are powers of two. Rows that repeat are packed each by itself; texts of any length are packed whole; ties in the order go by a mix of the row's number; other columns, of whatever names, are left out; an empty table gives an empty one. `tokenizer` is the path of the file on every machine.
 
-    A row of the shuffle holds one chunk of at most a window, so that a text of any length is spread out. Chunks are written to the checkpoint folder, as they are read for the document frequencies, for the shards' bounds, which a sample of the rests gives, and for the dealing. Whole windows are dealt by row; rests by their order, which a mix of the row's number ends, so that no key gathers them.
+    Chunks of at most a window are written to the checkpoint folder, as they are read for the document frequencies and then for the packing. Whole windows are sequences where they are, without a shuffle. Rests are sorted over all tasks by their min-hashes, which a mix of the row's number ends, so that no key gathers them; each task then cuts its sorted rows into shards of shard_tokens, one after another. The driver holds no bounds and no rows, only one count per token.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
@@ -273,66 +280,75 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                         totals.append(len(ids) // width)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int32())), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(chunks, pa.binary())], names=["id", "start", "doc_tokens", "chunk"])
 
-    def place(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_of = encoder(tokenizer).kind
-        names = t.column("id").to_pylist()
-        chunks = t.column("chunk").to_pylist()
-        starts, totals = t.column("start").to_pylist(), t.column("doc_tokens").to_pylist()
-        order = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] if names[i] is not None else 0, starts[i], chunks[i]))
-        ids = [np.frombuffer(chunks[i], kind_of) for i in order]
-        whole = [k for k, x in enumerate(ids) if len(x) == window]
-        rest = [k for k, x in enumerate(ids) if len(x) < window]
-        rows = [[(k, 0, window)] for k in whole]
-        packed = [[(rest[d], s, n) for d, s, n in row] for row in fill([ids[k] for k in rest], window, held.value[0].idf, held.value[0].mean)]
-        rows += packed[:-1]
-        rows += _halved(packed[-1], window) if packed else []
-        pieces = [(k, s, n, (shard << 32) + q, o) for q, row in enumerate(rows) for (k, s, n), o in zip(row, np.cumsum([0, *(n for _, _, n in row)]).tolist(), strict=False)]
-        at = [order[k] for k, *_ in pieces]
-        return pa.table(
-            {
-                "id": t.column("id").take(pa.array(at, pa.int64())),
-                "start": pa.array([starts[i] + s for i, (_, s, *_) in zip(at, pieces, strict=True)], pa.int64()),
-                "length": pa.array([n for _, _, n, _, _ in pieces], pa.int64()),
-                "ids": pa.array([ids[k][s : s + n].astype("<u4").tobytes() for k, s, n, _, _ in pieces], pa.binary()),
-                "doc_tokens": pa.array([totals[i] for i in at], pa.int64()),
-                "sequence_id": pa.array([q for *_, q, _ in pieces], pa.int64()),
-                "offset": pa.array([o for *_, o in pieces], pa.int64()),
-            }
-        )
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            ids = [np.frombuffer(c, kind_of).astype("<u4").tobytes() for c in batch.column(3).to_pylist()]
+            number = np.array(batch.column(4).to_pylist(), np.int64) | WHOLE
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(np.full(n, window)), pa.array(ids, pa.binary()), batch.column(2), pa.array(number), pa.array(np.zeros(n, np.int64))], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            )
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind_of = encoder(tokenizer).kind
         for batch in batches:
-            own = [np.frombuffer(c, kind_of) for c in batch.column(0).to_pylist()]
-            found = [(common.value.key(x, r), len(x)) for x, r in zip(own, batch.column(1).to_pylist(), strict=True) if len(x) < window]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
+            keys = [common.value.key(np.frombuffer(c, kind_of), r) for c, r in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.binary())], names=["id", "start", "doc_tokens", "chunk", "key"])
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, bounds = held.value
-        kind_of = encoder(tokenizer).kind
+    def shard(t: pa.Table, number: int) -> pa.RecordBatch:
+        """The pieces of a shard's rests."""
+        kind_of, corpus = encoder(tokenizer).kind, common.value
+        starts, totals = t.column("start").to_pylist(), t.column("doc_tokens").to_pylist()
+        ids = [np.frombuffer(c, kind_of) for c in t.column("chunk").to_pylist()]
+        packed = fill(ids, window, corpus.idf, corpus.mean)
+        rows = packed[:-1] + (_halved(packed[-1], window) if packed else [])
+        pieces = [(k, s, n, (number << SEQUENCE_BITS) + q, o) for q, row in enumerate(rows) for (k, s, n), o in zip(row, np.cumsum([0, *(n for _, _, n in row)]).tolist(), strict=False)]
+        at = [k for k, *_ in pieces]
+        columns = [
+            t.column("id").take(pa.array(at, pa.int64())).combine_chunks(),
+            pa.array([starts[k] + s for k, s, *_ in pieces], pa.int64()),
+            pa.array([n for _, _, n, _, _ in pieces], pa.int64()),
+            pa.array([ids[k][s : s + n].astype("<u4").tobytes() for k, s, n, _, _ in pieces], pa.binary()),
+            pa.array([totals[k] for k in at], pa.int64()),
+            pa.array([q for *_, q, _ in pieces], pa.int64()),
+            pa.array([o for *_, o in pieces], pa.int64()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = encoder(tokenizer).kind.itemsize
+        number = TaskContext.get().partitionId() << SHARD_BITS
+        held: list[pa.RecordBatch] = []
+        tokens = 0
         for batch in batches:
-            own = [np.frombuffer(c, kind_of) for c in batch.column(3).to_pylist()]
-            shard = [bisect_right(bounds, corpus.key(x, r)) if len(x) < window else r % shards for x, r in zip(own, batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shard, pa.int64())], names=["id", "start", "doc_tokens", "chunk", "shard"])
-
-    context = docs.sparkSession.sparkContext
-    # The number tells rows apart in the checkpoint, whose order doesn't change; mixed, as it counts on within a partition.
-    numbered = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 1).alias("row")
-    chunks = checkpointed(rows.mapInArrow(tokenize, f"id {kind}, start long, doc_tokens long, chunk binary")).select("*", numbered)
-    corpus = _corpus(chunks, encoder(tokenizer).kind, window)
-    common = context.broadcast(corpus)
-    bounds: list[bytes] = []
-    if shards > 1:
-        drawn = min(1.0, SAMPLED * shards / max(1, chunks.count()))
-        sampled = chunks.where(F.col("row") <= int(drawn * ((1 << 63) - 1))) if drawn < 1 else chunks
-        found = sampled.select("chunk", "row").mapInArrow(keys, "key binary, n long").toArrow()
-        ordered = sorted(zip(found.column("key").to_pylist(), found.column("n").to_pylist(), strict=True))
-        ends = np.cumsum([n for _, n in ordered])
-        bounds = [ordered[i][0] for i in np.searchsorted(ends, ends[-1] * np.arange(1, shards) / shards)] if ordered else []
-    held = context.broadcast((corpus, bounds))
-    dealt = chunks.mapInArrow(deal, f"id {kind}, start long, doc_tokens long, chunk binary, shard long")
-    return dealt.groupBy("shard").applyInArrow(place, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+            sizes = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False)) // width
+            start = 0
+            while start < batch.num_rows:
+                before = int(sizes[start - 1]) if start else 0
+                end = int(np.searchsorted(sizes, before + shard_tokens - tokens)) + 1
+                part = batch.slice(start, end - start)
+                held.append(part)
+                tokens += int(sizes[min(end, batch.num_rows) - 1]) - before
+                start = end
+                if tokens >= shard_tokens:
+                    yield shard(pa.Table.from_batches(held), number)
+                    held, tokens, number = [], 0, number + 1
+        if held:
+            yield shard(pa.Table.from_batches(held), number)
+
+    # The number tells rows apart in the checkpoint, whose order doesn't change; keys mix it.
+    chunks = checkpointed(rows.mapInArrow(tokenize, f"id {kind}, start long, doc_tokens long, chunk binary")).select("*", F.monotonically_increasing_id().alias("row"))
+    kind_of = encoder(tokenizer).kind
+    corpus = _corpus(chunks, kind_of, window)
+    common = docs.sparkSession.sparkContext.broadcast(corpus)
+    full = F.octet_length("chunk") == window * kind_of.itemsize
+    schema = f"id {kind}, {_PIECES}"
+    shards = max(1, -(-corpus.total // shard_tokens))
+    tasks = max(-(-shards // SHARDS_A_TASK), min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    rests = chunks.where(~full).mapInArrow(keyed, f"id {kind}, start long, doc_tokens long, chunk binary, key binary")
+    dealt = rests.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(place, schema)
+    return chunks.where(full).mapInArrow(whole, schema).unionByName(dealt)
 
 
 def op6_packing(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_query_digests_the_pieces(spark):
 def test_edges(spark):
     rows = [(1, ""), (2, None), (3, "word " * 4095), (4, "word " * 4096), (5, "word " * 20_000), (6, "x"), (None, "y z"), (7, "same text")]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, shard int")
-    got, lengths = unpacked(packing.pack(df, PATH, shard_bytes=30_000).collect())
+    got, lengths = unpacked(packing.pack(df, PATH, shard_tokens=6000).collect())
     assert {i: len(x) // 4 for i, x in got.items()} == {1: 1, 2: 1, 3: 4096, 4: 4097, 5: 20_001, 6: 2, None: 3, 7: 3}
     assert packing.pack(df.where("false"), PATH).count() == 0
 
@@ -110,9 +110,9 @@ def test_related_documents_meet_among_many_shards(spark):
     copies = [" ".join(rng.choices(subjects[i % 60], k=120)) for i in range(120)]
     df = spark.createDataFrame([(i, copies[i % 120]) for i in range(240)], "doc_id long, text string")
     shards = defaultdict(set)
-    pieces = packing.pack(df, PATH, shard_bytes=12_000).collect()
+    pieces = packing.pack(df, PATH, shard_tokens=4000).collect()
     for p in pieces:
-        shards[p.id].add(p.sequence_id >> 32)
+        shards[p.id].add(p.sequence_id >> packing.SEQUENCE_BITS)
     assert len(set().union(*shards.values())) > 12
     assert sum(bool(shards[i] & shards[i + 120]) for i in range(120)) > 90
     assert sum(bool(shards[i] & shards[i + 60]) for i in range(60)) > 30
@@ -120,10 +120,20 @@ def test_related_documents_meet_among_many_shards(spark):
 
 def test_one_group_of_copies_is_cut_into_shards(spark):
     df = spark.createDataFrame([(1, "the same text over and over " * 40)] * 400, "doc_id long, text string")
-    sizes = defaultdict(int)
-    for p in packing.pack(df, PATH, shard_bytes=50_000).collect():
-        sizes[p.sequence_id >> 32] += p.length
-    assert len(sizes) > 5 and max(sizes.values()) < 3 * min(sizes.values())
+    sizes, tasks = defaultdict(int), set()
+    for p in packing.pack(df, PATH, shard_tokens=3000).collect():
+        sizes[p.sequence_id >> packing.SEQUENCE_BITS] += p.length
+        tasks.add(p.sequence_id >> packing.SEQUENCE_BITS + packing.SHARD_BITS)
+    assert len(sizes) > 20 and max(sizes.values()) < 3000 + 4096 and len(tasks) > 2 and sum(sizes.values()) == 400 * 241
+
+
+def test_whole_windows_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, "word " * 9000), (2, "a b"), (3, "word " * 4095)], "doc_id long, text string")
+    df = packing.pack(df, PATH, shard_tokens=500)
+    got, lengths = unpacked(df.collect())
+    assert sorted(lengths, reverse=True)[:3] == [4096] * 3 and sum(p.sequence_id >= packing.WHOLE for p in df.collect()) == 3
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan
 
 
 def test_index_takes_frequencies_of_all_shards():
