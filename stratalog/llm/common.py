@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds as numpy arrays at a time.
@@ -47,6 +48,24 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start), [x or b"" for x in texts.slice(start).to_pylist()]
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, also one with a dot."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def keep_rows(docs: DataFrame, text: str, judge: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose texts the judge says True of. They are judged where they are; the columns have names of their own meanwhile, as Python workers are asked for them by name."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, at):
+                yield part.filter(pa.array(judge(texts), pa.bool_()))
+
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
+
+
 def least(keys: DataFrame, wanted: int) -> int | None:
     """The largest of the `wanted` least distinct values of the column h, hashes as longs; all of them are under it if there are fewer, and None stands for no value. Nulls don't count.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, slices
+from .common import checkpointed, keep_rows, named, slices
 
 WINDOW = 13
 SHINGLE = 5
@@ -317,21 +317,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """
     index = _index(benchmark, item_id, item_text, broadcast_bytes)
     if index is None:
-        named = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-        whole = docs.select(F.struct(*named).alias("doc"), *_text_key(text), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)).alias("n_words"))
+        whole = docs.select(F.struct(*map(named, docs.columns)).alias("doc"), *_text_key(text), F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)).alias("n_words"))
         out = _with_hits(whole, _joined(docs, benchmark, text, item_id, item_text, filter_bits))
         return out.where(F.col("n_hit").isNull() | (~F.col("whole") & (F.col("n_hit") * SHARE < F.col("n_words")))).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
     held = docs.sparkSession.sparkContext.broadcast(index)
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, at):
-                marks, _, whole = _found(held.value, texts)
-                n, words = np.array([m.sum() for m in marks], np.int64), np.array([len(m) for m in marks], np.int64)
-                yield part.filter(pa.array(~whole & ((n == 0) | (n * SHARE < words))))
+    def clean(texts: list[bytes]) -> np.ndarray:
+        marks, _, whole = _found(held.value, texts)
+        n, words = np.array([m.sum() for m in marks], np.int64), np.array([len(m) for m in marks], np.int64)
+        return ~whole & ((n == 0) | (n * SHARE < words))
 
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text, clean)
 
 
 ORACLE_SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold_ascii
+from .common import SPACES, fold_ascii, named
 
 MIN_CHARS = 40
 MIN_DOCUMENTS = 5
@@ -15,11 +15,6 @@ def _lines(text):
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def named(column: str):
-    """A column by its whole name, also one with a dot."""
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def _keys(text):
     """Array of (position, h1, h2) of the lines whose key is long enough to count; the two hashes make 128 bits."""
     keys = F.transform(

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, slices
+from .common import checkpointed, named, slices
 from .graph import MIX, components
 
 SHINGLE_WORDS = 3
@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def _row_hashes(docs: DataFrame) -> tuple[Column, Column]:
     """(h1, h2): 128 bits of all columns of a row, with nulls told apart."""
-    own = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields]
+    own = [named(f.name) for f in docs.schema.fields]
     held = [x for c, f in zip(own, docs.schema.fields, strict=True) for x in (c.isNull(), F.map_entries(c) if isinstance(f.dataType, T.MapType) else c)]
     return F.xxhash64(*held).alias("h1"), F.xxhash64(F.lit("second"), *held).alias("h2")
 
@@ -270,7 +270,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     # Copies are summed up by fingerprint first, then groups by root.
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(_roots(prints), "fp").groupBy("root").agg(F.min("best").alias("best"))
     first = best.select("best.h1", "best.h2")
-    whole = docs.select(*h, F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("doc")).groupBy("h1", "h2").agg(F.first("doc").alias("doc"))
+    whole = docs.select(*h, F.struct(*map(named, docs.columns)).alias("doc")).groupBy("h1", "h2").agg(F.first("doc").alias("doc"))
     return whole.join(first, ["h1", "h2"], "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, least, slices
+from .common import checkpointed, keep_rows, least, slices
 
 #: Documents fitted on, at most, unless train() is told otherwise: confirmed toxic ones and unlabelled ones.
 MOST_POSITIVE = 2500
@@ -286,11 +286,4 @@ def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that score under THRESHOLD (one that scores it goes), with all their columns. Null and empty texts score by the bias; rows that repeat are judged each; an empty table gives an empty one. Rows are filtered where they are scored; no text is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, doc_id, text))
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch, at):
-                yield part.filter(pa.array(held.value.scores(texts) < THRESHOLD))
-
-    return docs.mapInArrow(run, docs.schema)
+    return keep_rows(docs, text, lambda texts: held.value.scores(texts) < THRESHOLD)

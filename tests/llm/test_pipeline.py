@@ -83,3 +83,37 @@ def test_packed_ids(stages):
 def test_run(spark, sf_dir, stages):
     pieces = corpus_pipeline.run(spark, sf_dir).select("doc_id", "start", F.crc32("ids").alias("c")).collect()
     assert sorted(map(tuple, pieces)) == sorted((p.doc_id, p.start, zlib.crc32(bytes(p.ids))) for p in stages[5][2])
+
+
+EDGES = "doc_id long, text string, lang string, source string, n_chars long, id string, h1 long, n_lines_before int, score double, `the.text` string"
+
+
+def edge_rows():
+    line = "A line of boilerplate that is longer than forty characters."
+    long_ = " ".join(f"w{i % 5003}" for i in range(150_000))
+    own = [(1, None), (2, ""), (3, " \n\t"), (4, long_), (5, long_), (None, "no id here at all, but five words and more"), (6, "own words six seven"), (6, "own words six seven"), (7, "\n".join([line, "seven has this to say"]))]
+    own += [(10 + i, f"{line}\n" + " ".join(f"d{i}x{k}" for k in range(30))) for i in range(5)]
+    return [(i, t, "en", None, None if t is None else len(t), "x", 9, 1, 0.5, "dot") for i, t in own]
+
+
+def test_edge_cases_go_through_all_stages(spark, sf_dir):
+    docs = spark.createDataFrame(edge_rows(), EDGES)
+    out = {"documents": docs.collect()}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        df = f(spark, docs, sf_dir)
+        assert df.schema.names == docs.schema.names, name
+        docs = spark.createDataFrame(df.collect(), docs.schema)
+        out[name] = docs.collect()
+    assert len(out["toxicity"]) == len(out["documents"])
+    assert [len(out[n]) for n in ("line_dedup", "simhash_near_dedup", "benchmark_decontamination")] == [14, 10, 10]
+    text = {r.doc_id: r.text for r in out["line_dedup"]}
+    assert text[1] is None and text[2] == "" and text[14].startswith("A line") and not text[10].startswith("A line") and text[7] == "seven has this to say"
+    assert {r.doc_id for r in out["simhash_near_dedup"]} == {1, 4, 6, 7, None, 10, 11, 12, 13, 14}
+    pieces = dict(corpus_pipeline.STAGES)["packing"](spark, docs, sf_dir).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) == 1 and sum(p.length for p in pieces if p.doc_id == 4) > 150_000
+    # The same rows twice over, and none at all.
+    twice = spark.createDataFrame(edge_rows() * 2, EDGES)
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, twice, sf_dir).count() == 10
+    assert dict(corpus_pipeline.STAGES)["line_dedup"](spark, twice, sf_dir).count() == 28
+    nothing = spark.createDataFrame([], EDGES)
+    assert [f(spark, nothing, sf_dir).count() for _, f in corpus_pipeline.STAGES] == [0] * 5
