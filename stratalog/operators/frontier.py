@@ -52,3 +52,10 @@ def committed_transactions(log: DataFrame, commits: DataFrame) -> DataFrame:
     """Events without a transaction, and those whose transaction has a commit."""
     done = commits.select("txn_id")
     return log.where("txn_id IS NULL").unionByName(log.where("txn_id IS NOT NULL").join(done, "txn_id", "left_semi").select(*log.columns))
+
+
+def released(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(timeline, first, last): offsets whose writers can be answered when the frontier (timeline, lra) has moved; nothing for timelines where it hasn't."""
+    old = before.select("timeline", F.col("lra").alias("__old"))
+    moved = after.select("timeline", "lra").join(old, "timeline", "left").withColumn("first", F.greatest(F.coalesce("__old", F.lit(0)), F.lit(0)) + 1)
+    return moved.where(F.col("lra") >= F.col("first")).select("timeline", "first", F.col("lra").alias("last"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.payload import fault, first_difference
 from .frontier import ack_counts
+from .log import asof
 from .ordered import previous, running_max
 
 
@@ -76,3 +77,9 @@ def sticky(samples: DataFrame, low: float, high: float) -> DataFrame:
     out = running_max(marked, ["unit"], "seq", "__own", "__before")
     last = F.coalesce(F.col("__own"), F.col("__before"))
     return out.select(*samples.columns, F.when(last % 2 == 0, "READONLY").otherwise("WRITABLE").alias("status"))
+
+
+def refused(writes: DataFrame, samples: DataFrame, low: float, high: float) -> DataFrame:
+    """Writes (unit, seq, ..) that a unit refuses: its last status by sticky() at or before the write is READONLY. A unit without a sample before takes the write."""
+    status = sticky(samples, low, high).select("unit", F.col("seq").alias("__since"), "status")
+    return asof(writes, status, ["unit"], "seq", "__since").where("status = 'READONLY'").select(*writes.columns)

@@ -465,6 +465,27 @@ def _(spark, d):
     return verify.sticky(samples, 0.05, 0.10)
 
 
+@query("readonly_refusals", """WITH s AS (SELECT event_type AS unit, event_id AS seq, value / 100.0 AS free FROM events),
+t AS (SELECT *, CASE WHEN free < 0.05 THEN 0 WHEN free > 0.10 THEN 1 END AS turn FROM s),
+k AS (SELECT unit, seq, coalesce(last_value(turn IGNORE NULLS) OVER (PARTITION BY unit ORDER BY seq), 1) AS open FROM t)
+SELECT w.unit, w.seq FROM (SELECT ['click', 'view', 'error'][o_orderkey % 3 + 1] AS unit, o_orderkey AS seq FROM orders) w ASOF JOIN k ON w.unit = k.unit AND w.seq >= k.seq WHERE k.open = 0""")
+def _(spark, d):
+    """Orders as writes to three units, refused while the unit's disk is short."""
+    samples = arrivals(spark, d).select(F.col("timeline").alias("unit"), "seq", (F.col("value") / 100.0).alias("free"))
+    writes = table(spark, d, "orders").select(F.element_at(F.array(F.lit("click"), F.lit("view"), F.lit("error")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("unit"), F.col("o_orderkey").alias("seq"))
+    return verify.refused(writes, samples, 0.05, 0.10)
+
+
+@query("ack_release", f"""WITH {_ACKS}, half AS (SELECT timeline, coalesce(min(CASE WHEN n_units < 3 OR seq >= 4000 THEN log_offset END) - 1, max(log_offset)) AS lra FROM counts JOIN log USING (timeline, log_offset) GROUP BY timeline)
+SELECT timeline, half.lra + 1 AS first, frontier.lra AS last FROM half JOIN frontier USING (timeline) WHERE frontier.lra > half.lra""")
+def _(spark, d):
+    """What can be answered when the acknowledgements from sequence 4000 on have come in, too."""
+    rows = events_log(spark, d)
+    a = acks(rows)
+    early = frontier.frontier(rows, a.join(rows.where("seq < 4000").select("timeline", "log_offset"), ["timeline", "log_offset"], "left_semi"), 3)
+    return frontier.released(early, frontier.frontier(rows, a, 3))
+
+
 # Placement and catalog
 
 

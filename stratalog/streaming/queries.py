@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import acks, arrivals, events_log
-from .record import acked_blocks, append_to, frontiers, record
-from .tail import tail
+from ..sources.tables import acks, arrivals, events_log, table
+from .record import acked_blocks, append_to, fence_to, frontiers, record
+from .tail import read_log, tail, write_log
 
 _LOG = """log AS (
   SELECT event_type AS timeline, event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, user_id AS key, value, props AS payload,
@@ -72,13 +72,39 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+def stream_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fence requests in four micro-batches, in order of seq; a unit's terms are kept from batch to batch."""
+    folder = _folder(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("timeline"), F.col("o_orderkey").alias("seq"), (F.floor("o_totalprice") % 97).alias("term"))
+    top = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    for i in range(4):
+        rows.where((F.col("seq") >= i * top // 4) & (F.col("seq") < (i + 1) * top // 4)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream.writeStream.foreachBatch(fence_to(f"{folder}/out", f"{folder}/ends")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("timeline", "seq", "term", "accepted", "current_term")
+
+
+def log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timeline that the log source wrote and read as a table."""
+    folder = _folder(spark).removeprefix("file://").removeprefix("file:")
+    rows = events_log(spark, sf_dir).select("timeline", "log_offset", "ts_ms", F.col("key").cast("string").alias("key"), "payload")
+    write_log(rows.repartitionByRange(4, "timeline", "log_offset"), folder)
+    return read_log(spark, folder, "view", 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_offsets": stream_offsets,
     "stream_tail": stream_tail,
     "stream_acks": stream_acks,
     "stream_windows": windowed_counts,
+    "stream_fences": stream_fences,
+    "log_source": log_source,
 }
 SQL = {
+    "stream_fences": """WITH w AS (SELECT o_orderpriority AS timeline, o_orderkey AS seq, CAST(floor(o_totalprice) AS BIGINT) % 97 AS term FROM orders),
+b AS (SELECT *, coalesce(max(term) OVER (PARTITION BY timeline ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM w)
+SELECT timeline, seq, term, term > before AS accepted, greatest(before, term) AS current_term FROM b""",
+    "log_source": f"WITH {_LOG} SELECT timeline, log_offset, ts_ms, CAST(key AS VARCHAR) AS key, payload FROM log WHERE timeline = 'view' AND log_offset >= 5",
     "stream_offsets": f"WITH {_LOG} SELECT timeline, seq, log_offset FROM log",
     "stream_tail": f"WITH {_LOG} SELECT timeline, log_offset, payload FROM log WHERE timeline = 'click' AND log_offset BETWEEN 51 AND 300",
     "stream_acks": f"""WITH {_LOG}, c AS (SELECT timeline, log_offset, NOT (seq % 997 = 500) AND NOT (seq >= 9000 AND seq % 2 = 1) AS ok FROM log)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ordered import BUCKET_ROWS, numbered
+from ..operators.ordered import BUCKET_ROWS, numbered, running_max
 
 #: Offsets whose acknowledgements one state value holds, as bits.
 BLOCK = 4096
@@ -56,10 +56,33 @@ def number_to(path: str, ends: str, bucket_rows: int = BUCKET_ROWS):
     return write
 
 
-def record(arrivals: DataFrame, path: str, checkpoint: str, bucket_rows: int = BUCKET_ROWS):
-    """Starts a query that numbers arrivals (timeline, seq, ..) and appends them to the log at path; it ends when what is there has been written. How much a batch gathers is the source's to say (maxFilesPerTrigger), how long a batch waits the trigger's."""
+def record(arrivals: DataFrame, path: str, checkpoint: str, bucket_rows: int = BUCKET_ROWS, linger_s: float | None = None):
+    """Starts a query that numbers arrivals (timeline, seq, ..) and appends them to the log at path.
+
+    Without `linger_s` it ends when what is there has been written. With it, it goes on, and gathers arrivals for that long before they are written as one batch; how much a batch gathers at most is the source's to say (maxFilesPerTrigger).
+    """
     sink = number_to(path, f"{checkpoint}/ends", bucket_rows)
-    return arrivals.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = arrivals.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if linger_s is None else query.trigger(processingTime=f"{int(linger_s * 1000)} milliseconds")).start()
+
+
+def fence_to(path: str, ends: str, bucket_rows: int = BUCKET_ROWS):
+    """A foreachBatch sink for fence requests (timeline, seq, term), which come in order of seq from batch to batch: writes their outcomes (accepted, current_term), as frontier.fence() gives them for all requests at once, and the term of every timeline so far."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("timeline string, last long").parquet(f"{ends}/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], "timeline string, last long")
+        held = batch.persist()
+        try:
+            own = running_max(held, ["timeline"], "seq", "term", "__before", bucket_rows).join(before, "timeline", "left")
+            known = F.coalesce(F.greatest("__before", "last"), F.lit(-1).cast("long"))
+            own.select(*batch.columns, (F.col("term") > known).alias("accepted"), F.greatest(known, F.col("term")).alias("current_term")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            now = held.groupBy("timeline").agg(F.max("term").alias("last")).unionByName(before).groupBy("timeline").agg(F.max("last").alias("last"))
+            now.write.mode("overwrite").parquet(f"{ends}/batch={batch_id}")
+        finally:
+            held.unpersist()
+
+    return write
 
 
 def _through(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -271,3 +271,16 @@ def test_wal_files_as_a_table(spark, tmp_path):
     assert sorted((r.file, r.at, r.type, r.log_number, len(r.data)) for r in rows.collect()) == [(1, 0, 1, 7, 1), (1, 12, 2, 8, 0), (1, 23, 4, 9, 65_535), (2, 0, 1, 7, 3)]
     assert {r.log_number: bytes(r.data)[:3] for r in last_records(rows).collect()} == {7: b"new", 8: b"", 9: b"bbb"}
     assert read_wal(spark, str(tmp_path), 2).count() == 1
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from stratalog.__main__ import main
+
+    folder = str(tmp_path / "log")
+    assert main(["status", "--folder", folder]) == 2
+    LogStore(spark, folder).flush(spark.createDataFrame([("t", i, i, f"p{i}") for i in range(5)], BATCH), 0)
+    assert main(["read", "--folder", folder, "--timeline", "t", "--start", "2", "--limit", "2"]) == 0
+    assert main(["compact", "--folder", folder]) == 0 and main(["segments", "--folder", folder]) == 0 and main(["status", "--folder", folder]) == 0
+    out = capsys.readouterr().out
+    assert "2\tp2\n3\tp3\n" in out and "merged: True, split: True" in out and "L3\tlocal\t5" in out and "1 segments, 5 rows" in out
+    assert main(["verify", "--timelines", "1", "--events", "24", "--payload-size", "16", "--folder", str(tmp_path / "v")]) == 0
