@@ -209,7 +209,8 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item
 
         return run
 
-    often = texts.mapInArrow(counted(_filter(shingles.select("code"), bits)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # Written before it is joined, as a sum by the code would bind a code that very many windows have to one task.
+    often = checkpointed(texts.mapInArrow(counted(_filter(shingles.select("code"), bits)), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
     # A window can only occur where each of its shingles does; its prefix is the rarest of them.
     rare = shingles.join(often, "code").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "code", "position")).alias("least"))
     prefixes = checkpointed(

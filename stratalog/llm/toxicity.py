@@ -274,7 +274,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+    """doc_id, held_out, score, predicted of every document; a score of THRESHOLD itself is predicted 1."""
     return score(docs, train(docs, labels)).select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
