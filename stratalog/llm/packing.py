@@ -22,8 +22,9 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens to a shard, from which it is closed; the number of shards follows from the number of tokens.
 SHARD_TOKENS = 1 << 20
-#: Shards that a task sorts and packs one after another, where there are more than keep all cores busy.
-SHARDS_A_TASK = 64
+#: Shards that a task sorts and packs one after another: so many until there are MOST_TASKS tasks, and beyond that as many as it takes.
+SHARDS_A_TASK = 4
+MOST_TASKS = 100_000
 K1, B = 1.2, 0.75
 #: Min-hashes of a rest, the first of which count most in the order.
 HASHES = 4
@@ -345,7 +346,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     full = F.octet_length("chunk") == window * kind_of.itemsize
     schema = f"id {kind}, {_PIECES}"
     shards = max(1, -(-corpus.total // shard_tokens))
-    tasks = max(-(-shards // SHARDS_A_TASK), min(shards, 4 * docs.sparkSession.sparkContext.defaultParallelism))
+    tasks = min(MOST_TASKS, max(-(-shards // SHARDS_A_TASK), min(shards, docs.sparkSession.sparkContext.defaultParallelism)))
     rests = chunks.where(~full).mapInArrow(keyed, f"id {kind}, start long, doc_tokens long, chunk binary, key binary")
     dealt = rests.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(place, schema)
     return chunks.where(full).mapInArrow(whole, schema).unionByName(dealt)
