@@ -32,10 +32,13 @@ def interval_rates(df: DataFrame, keys: list[str], ts_ms: Column, interval_s: in
     return df.groupBy(*keys, F.floor(ts_ms / (1000 * interval_s)).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).select(*keys, "bucket", "n", F.floor(F.col("n") / interval_s).alias("per_second"))
 
 
-def counter_rates(samples: DataFrame, keys: list[str], window_ms: int) -> DataFrame:
-    """keys, bucket, rate: increase of a counter (ts_ms, value) a second within each window, with resets counted from zero."""
+def counter_rates(samples: DataFrame, keys: list[str], window_ms: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """keys, bucket, rate: increase of a counter (ts_ms, value) a second within each window, with resets counted from zero.
+
+    Samples of the same time go by the columns of ties, and then by value, so that the rate doesn't depend on where rows lie.
+    """
     bucket = F.floor(F.col("ts_ms") / window_ms)
-    w = Window.partitionBy(*keys, "bucket").orderBy("ts_ms")
+    w = Window.partitionBy(*keys, "bucket").orderBy("ts_ms", *ties, "value")
     before = F.lag("value").over(w)
     step = F.when(before.isNull(), 0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
     rows = samples.withColumn("bucket", bucket)

@@ -602,8 +602,9 @@ def _(spark, d):
 t AS (SELECT *, lag(value) OVER (PARTITION BY unit, bucket ORDER BY ts_ms) AS before FROM w)
 SELECT unit, bucket, round(sum(CASE WHEN before IS NULL THEN 0 WHEN value >= before THEN value - before ELSE value END) * 1000.0 / nullif(max(ts_ms) - min(ts_ms), 0), 9) AS rate FROM t GROUP BY unit, bucket""")
 def _(spark, d):
-    samples = arrivals(spark, d).select(F.col("timeline").alias("unit"), "ts_ms", (F.col("seq") % 1000).alias("value"))
-    return metrics.counter_rates(samples, ["unit"], 86_400_000).withColumn("rate", F.round("rate", 9))
+    """Samples of the same millisecond, whose order the SQL leaves open, go by sequence."""
+    samples = arrivals(spark, d).select(F.col("timeline").alias("unit"), "ts_ms", "seq", (F.col("seq") % 1000).alias("value"))
+    return metrics.counter_rates(samples, ["unit"], 86_400_000, ties=("seq",)).withColumn("rate", F.round("rate", 9))
 
 
 # Scalar functions

@@ -188,6 +188,15 @@ def test_histogram_quantile(spark):
     assert metrics.histogram_quantile(h, ["k"], 0.3).first().quantile == pytest.approx(30.0)
 
 
+def test_counter_rate_of_samples_of_the_same_time(spark):
+    """Ties go by the columns given, then by value, in whatever order rows lie."""
+    samples = [("u", 0, 1, 5), ("u", 0, 2, 9), ("u", 0, 3, 2), ("u", 1000, 4, 4)]
+    for given in (samples, samples[::-1], [samples[i] for i in (2, 0, 3, 1)]):
+        df = spark.createDataFrame(given, "unit string, ts_ms long, seq long, value long").coalesce(1)
+        assert rows(metrics.counter_rates(df, ["unit"], 60_000, ties=("seq",)), "unit") == [("u", 0, 4.0 + 2 + 2)]
+        assert rows(metrics.counter_rates(df, ["unit"], 60_000), "unit") == [("u", 0, 3.0 + 4 + 4)]
+
+
 def test_directory_sizes(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x").write_bytes(b"12345")

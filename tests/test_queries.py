@@ -17,6 +17,29 @@ def test_query(spark, sf_dir, name):
         assert df.count() > 0
 
 
+def test_counter_rate_of_repeated_times(spark, sf_dir, tmp_path):
+    """Copies of events at the same times, with other values: by sequence, in whatever order rows are stored. The result is one that the SQL allows."""
+    from itertools import pairwise
+
+    from pyspark.sql import functions as F
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = events.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn("event_id", F.expr("event_id + copy * 1000333")).drop("copy")
+    series = {}
+    for r in copies.selectExpr("event_type", "unix_millis(CAST(ts AS TIMESTAMP)) AS ms", "event_id").collect():
+        series.setdefault((r.event_type, r.ms // 86_400_000), []).append((r.ms, r.event_id))
+    want = {}
+    for key, s in series.items():
+        s.sort()
+        values = [i % 1000 for _, i in s]
+        grown = sum(b - a if b >= a else b for a, b in pairwise(values))
+        want[key] = round(grown * 1000 / (s[-1][0] - s[0][0]), 6) if s[-1][0] > s[0][0] else None
+    for name, order in (("up", F.col("event_id")), ("down", F.col("event_id").desc()), ("mixed", F.xxhash64("event_id"))):
+        copies.coalesce(1).sortWithinPartitions(order).write.parquet(str(tmp_path / name / "events.parquet"))
+        got = engine.queries()["counter_rate"](spark, str(tmp_path / name)).collect()
+        assert {(r.unit, r.bucket): None if r.rate is None else round(r.rate, 6) for r in got} == want
+
+
 def test_every_sql_has_its_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
